@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 # module -> query
 QUERIES = {
+    "pattern_packing": "op1_pattern_packing",
     "token_counts": "op4_token_counts",
 }
 
