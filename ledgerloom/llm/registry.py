@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 # module -> query
 QUERIES = {
     "pattern_packing": "op1_pattern_packing",
+    "decontamination": "op10_decontamination",
     "token_counts": "op4_token_counts",
 }
 
