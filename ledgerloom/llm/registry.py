@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES = {
     "pattern_packing": "op1_pattern_packing",
     "decontamination": "op10_decontamination",
+    "language_id": "op7_language_id",
     "token_counts": "op4_token_counts",
 }
 
