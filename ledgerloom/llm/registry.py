@@ -12,6 +12,7 @@ QUERIES = {
     "pattern_packing": "op1_pattern_packing",
     "decontamination": "op10_decontamination",
     "language_id": "op7_language_id",
+    "toxicity": "op2_toxicity",
     "token_counts": "op4_token_counts",
 }
 
