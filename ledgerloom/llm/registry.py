@@ -13,6 +13,7 @@ QUERIES = {
     "decontamination": "op10_decontamination",
     "language_id": "op7_language_id",
     "toxicity": "op2_toxicity",
+    "pii": "op8_pii",
     "token_counts": "op4_token_counts",
 }
 
