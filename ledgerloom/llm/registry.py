@@ -14,6 +14,7 @@ QUERIES = {
     "language_id": "op7_language_id",
     "toxicity": "op2_toxicity",
     "pii": "op8_pii",
+    "spot_signatures": "op6_spot_signatures",
     "token_counts": "op4_token_counts",
 }
 
