@@ -15,6 +15,7 @@ QUERIES = {
     "toxicity": "op2_toxicity",
     "pii": "op8_pii",
     "spot_signatures": "op6_spot_signatures",
+    "bag_minhash": "op5_bag_minhash",
     "token_counts": "op4_token_counts",
 }
 
