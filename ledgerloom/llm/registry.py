@@ -16,6 +16,7 @@ QUERIES = {
     "pii": "op8_pii",
     "spot_signatures": "op6_spot_signatures",
     "bag_minhash": "op5_bag_minhash",
+    "chat_snapshots": "op3_chat_snapshots",
     "token_counts": "op4_token_counts",
 }
 
