@@ -17,6 +17,7 @@ QUERIES = {
     "spot_signatures": "op6_spot_signatures",
     "bag_minhash": "op5_bag_minhash",
     "chat_snapshots": "op3_chat_snapshots",
+    "html_extraction": "op9_html_extraction",
     "token_counts": "op4_token_counts",
 }
 
