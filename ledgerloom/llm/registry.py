@@ -23,7 +23,8 @@ QUERIES = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: getattr(import_module(f"{__package__}.{module}"), name) for module, name in QUERIES.items()}
+    found = {name: getattr(import_module(f"{__package__}.{module}"), name) for module, name in QUERIES.items()}
+    return found | {"pipeline": import_module("corpus_pipeline").run}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -32,4 +33,5 @@ def oracle_sql() -> dict[str, str]:
         sql = getattr(import_module(f"{__package__}.{module}"), "ORACLE_SQL", None)
         if sql:
             found[name] = sql
-    return found
+    sql = import_module("corpus_pipeline").ORACLE_SQL
+    return found | ({"pipeline": sql} if sql else {})
