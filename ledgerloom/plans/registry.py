@@ -7,7 +7,9 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list[str] = []
+MODULES: list[str] = [
+    "ledgerloom.operators.scoring",
+]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
