@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 MODULES: list[str] = [
     "ledgerloom.operators.scoring",
+    "ledgerloom.operators.normalise",
+    "ledgerloom.operators.coverage",
 ]
 
 
