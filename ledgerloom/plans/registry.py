@@ -11,6 +11,8 @@ MODULES: list[str] = [
     "ledgerloom.operators.scoring",
     "ledgerloom.operators.normalise",
     "ledgerloom.operators.coverage",
+    "ledgerloom.operators.joins",
+    "ledgerloom.operators.windows",
 ]
 
 
