@@ -68,12 +68,15 @@ def greedy_batches(rows: DataFrame, most: int = 100, most_rows: int = 30) -> Dat
 
 
 def progress(rows: DataFrame, fan_out: int = 2, least: int = 4) -> DataFrame:
-    """Running counts and estimated seconds left of a run after each batch; none before four samples."""
+    """Running counts and estimated seconds left of a run after each batch; none before four samples.
+
+    Durations are summed in whole milliseconds, so the mean doesn't depend on the order of addition.
+    """
     order = Window.partitionBy("run").orderBy("at", "batch")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({"done": F.count("*").over(upto), "failed": F.count_if(F.col("status") == "failed").over(upto), "mean": F.avg("duration").over(upto), "total": F.count("*").over(Window.partitionBy("run"))})
+    rows = rows.withColumns({"done": F.count("*").over(upto), "failed": F.count_if(F.col("status") == "failed").over(upto), "spent": F.sum(F.floor(F.col("duration") * 1000 + 0.5)).over(upto), "total": F.count("*").over(Window.partitionBy("run"))})
     left = F.ceil((F.col("total") - F.col("done")) / fan_out)
-    return rows.select("run", "batch", "done", "failed", F.when(F.col("done") >= least, round_half_up(F.col("mean") * left, 1)).alias("eta"))
+    return rows.select("run", "batch", "done", "failed", F.when(F.col("done") >= least, round_half_up((F.col("spent") * left).cast("double") / (F.col("done") * 1000), 1)).alias("eta"))
 
 
 def entry_ends(rows: DataFrame) -> DataFrame:
@@ -159,7 +162,7 @@ ORACLES = {
     "win07_greedy_batches": with_views("SELECT run, batch, pack FROM walk", "v_batch", recursive=True, **{
         "o": "SELECT run, batch, units, row_number() OVER (PARTITION BY run ORDER BY batch) AS k FROM v_batch",
         "walk(run, batch, k, pack, size, n)": "SELECT run, batch, k, 0::BIGINT, units, 1::BIGINT FROM o WHERE k = 1 UNION ALL SELECT o.run, o.batch, o.k, CASE WHEN w.size + o.units > 100 OR w.n >= 30 THEN w.pack + 1 ELSE w.pack END, CASE WHEN w.size + o.units > 100 OR w.n >= 30 THEN o.units ELSE w.size + o.units END, CASE WHEN w.size + o.units > 100 OR w.n >= 30 THEN 1 ELSE w.n + 1 END FROM walk w JOIN o ON o.run = w.run AND o.k = w.k + 1"}),
-    "win14_progress": with_views("SELECT run, batch, done, failed, CASE WHEN done >= 4 THEN floor(mean * ceil((total - done) / 2) * 10 + 0.5) / 10 END AS eta FROM (SELECT *, count(*) OVER w AS done, count(*) FILTER (status = 'failed') OVER w AS failed, avg(duration) OVER w AS mean, count(*) OVER (PARTITION BY run) AS total FROM v_batch WINDOW w AS (PARTITION BY run ORDER BY \"at\", batch ROWS UNBOUNDED PRECEDING))", "v_batch"),
+    "win14_progress": with_views("SELECT run, batch, done, failed, CASE WHEN done >= 4 THEN floor(spent * CAST(ceil((total - done) / 2) AS BIGINT) / (done * 1000) * 10 + 0.5) / 10 END AS eta FROM (SELECT *, count(*) OVER w AS done, count(*) FILTER (status = 'failed') OVER w AS failed, CAST(sum(CAST(floor(duration * 1000 + 0.5) AS BIGINT)) OVER w AS BIGINT) AS spent, count(*) OVER (PARTITION BY run) AS total FROM v_batch WINDOW w AS (PARTITION BY run ORDER BY \"at\", batch ROWS UNBOUNDED PRECEDING))", "v_batch"),
     "win13_entry_ends": with_views("SELECT doc_id, line_no AS start, coalesce(lead(line_no) OVER (PARTITION BY doc_id ORDER BY line_no) - 1, last) AS stop FROM (SELECT * FROM v_line WHERE regexp_matches(line, '^[A-ZÀ-Ý]')) JOIN (SELECT doc_id, max(line_no) AS last FROM v_line GROUP BY doc_id) USING (doc_id)", "v_line"),
     "win18_first_claims": with_views("SELECT unit_id, min(unit_id) OVER p AS claimed_by, unit_id = min(unit_id) OVER p AS kept FROM v_unit WINDOW p AS (PARTITION BY file, line, kind)", "v_unit"),
     "win03_widest_per_line": with_views("SELECT doc_id, word, line_no FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, word ORDER BY length(line) DESC, line_no) AS n FROM (SELECT *, regexp_extract(line, '^([^\\s]+)', 1) AS word FROM v_line)) WHERE n = 1", "v_line"),
