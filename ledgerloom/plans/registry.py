@@ -13,6 +13,7 @@ MODULES: list[str] = [
     "ledgerloom.operators.coverage",
     "ledgerloom.operators.joins",
     "ledgerloom.operators.windows",
+    "ledgerloom.operators.texts",
 ]
 
 
