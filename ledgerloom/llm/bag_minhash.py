@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, checkpointed, read_table, words_of
+from .common import bound_batches, checkpointed, free_name, read_table, words_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -285,15 +285,13 @@ def keep_one(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", thre
     kept = checkpointed(
         found.where(F.col(id_col).eqNullSafe(F.col("class"))).groupBy(id_col, "class").agg(F.min("__key").alias("__key"), F.count("*").alias("__n"))
     )
-    key = F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    marked = df.withColumn("__key", key).join(
-        kept.select(F.col(id_col).alias("__keep"), F.col("__key").alias("__k")),
-        F.col(id_col).eqNullSafe(F.col("__keep")) & (F.col("__key") == F.col("__k")),
-        "left_semi",
-    )
-    if kept.where("__n > 1").isEmpty():
-        return marked.drop("__key")
-    return marked.dropDuplicates([id_col, "__key"]).drop("__key")
+    name = free_name(df, "__key")
+    marked = df.withColumn(name, F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))))
+    least = kept.select(F.col(id_col).alias("__keep"), F.col("__key").alias("__k"))
+    marked = marked.join(least, marked[id_col].eqNullSafe(least["__keep"]) & (marked[name] == least["__k"]), "left_semi")
+    if not kept.where("__n > 1").isEmpty():
+        marked = marked.dropDuplicates([id_col, name])
+    return marked.drop(name)
 
 
 def op5_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,9 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
+
+_TYPES = {"boolean": BooleanType, "double": DoubleType, "string": StringType}
 
 # Bytes of Arrow data handed to Python at once; rows are limited too, for tables of very short texts.
 BATCH_BYTES = 8 << 20
@@ -54,5 +57,13 @@ def id_remainder(id_column: str | Column, divisor: int) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % F.lit(divisor)
 
 
-def letters_only(text: str) -> bool:
-    return any(c.isalpha() for c in text)
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
+def schema_with(df: DataFrame, **columns: str) -> StructType:
+    """The schema of df with further columns, by type name; df's own schema object stays as it is."""
+    return StructType([*df.schema.fields, *(StructField(n, _TYPES[k]()) for n, k in columns.items())])

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, read_table, words_of
+from .common import bound_batches, free_name, read_table, schema_with, words_of
 
 WINDOW = 10
 # UTF-8 bytes of benchmark texts up to which the windows are sent to every task.
@@ -115,16 +115,17 @@ def contamination(
     index = df.sparkSession.sparkContext.broadcast(WindowIndex(held, frequency, window))
 
     if keep:
-        given = df.withColumn("__text", F.col(text_col).cast("string"))
+        base = df.drop("__contaminated")
+        at = base.columns.index(text_col)
 
         def flag(batches):
             for batch in batches:
-                at = batch.schema.get_field_index("__text")
                 hit = [index.value.hits(words_of(t))[0] > 0 for t in batch.column(at).to_pylist()]
-                yield batch.set_column(at, "__contaminated", pa.array(hit, pa.bool_()))
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array(hit, pa.bool_())], [*batch.schema.names, "__contaminated"]
+                )
 
-        schema = df.schema.add("__contaminated", "boolean")
-        return given.mapInArrow(flag, schema)
+        return base.mapInArrow(flag, schema_with(base, __contaminated="boolean"))
 
     given = df.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
     kind = given.schema["__id"].dataType.simpleString()
@@ -199,19 +200,20 @@ def _joined(df: DataFrame, items: DataFrame, text_col: str, id_col: str, window:
     named = (
         occurs.join(runs, "run").groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("names"))
     )
-    base = df.withColumn("__key", F.sha2(F.col(text_col).cast("string"), 256))
-    found = hit.join(named, "key").withColumnRenamed("key", "__key")
+    key = free_name(df, "__key")
+    found = hit.join(named, "key").select(F.col("key").alias(key), F.col("n_hit").alias("__hit"), F.col("names").alias("__names"))
     if keep:
-        return base.join(found.select("__key", F.lit(True).alias("__c")), "__key", "left").select(
-            *[df[c] for c in df.columns], F.coalesce("__c", F.lit(False)).alias("__contaminated")
-        )
-    return base.join(found, "__key", "left").select(
-        F.col(id_col),
-        F.size(_words(text_col)).cast("long").alias("n_words"),
-        F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce(F.size("names"), F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(F.coalesce(F.array_join("names", ","), F.lit("")), 256).alias("items_sha256"),
-        F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
+        base = df.drop("__contaminated")
+        marked = base.withColumn(key, F.sha2(F.col(text_col), 256)).join(found.select(key, F.lit(True).alias("__c")), key, "left")
+        return marked.select(*base.columns, F.coalesce("__c", F.lit(False)).alias("__contaminated"))
+    base = df.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).withColumn(key, F.sha2("__text", 256))
+    return base.join(found, key, "left").select(
+        F.col("__id").alias(id_col),
+        F.size(_words("__text")).cast("long").alias("n_words"),
+        F.coalesce("__hit", F.lit(0)).cast("long").alias("n_hit"),
+        F.coalesce(F.size("__names"), F.lit(0)).cast("long").alias("n_items"),
+        F.sha2(F.coalesce(F.array_join("__names", ","), F.lit("")), 256).alias("items_sha256"),
+        F.coalesce(F.col("__hit") > 0, F.lit(False)).alias("contaminated"),
     )
 
 

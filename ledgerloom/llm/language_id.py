@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, id_remainder, read_table
+from .common import bound_batches, id_remainder, read_table, schema_with
 
 DIMENSIONS = 1 << 13
 CLUSTERS = 4
@@ -218,20 +218,18 @@ def identify_language(
     bound_batches(df.sparkSession)
     held = df.sparkSession.sparkContext.broadcast(model)
     base = df.drop(lang_out, score_out, "rejected")
-    given = base.withColumn("__text", F.col(text_col).cast("string"))
-    schema = base.schema.add(lang_out, "string").add(score_out, "double").add("rejected", "boolean")
+    schema = schema_with(base, **{lang_out: "string", score_out: "double", "rejected": "boolean"})
+    at = base.columns.index(text_col)
 
     def judge(batches):
         for batch in batches:
-            at = batch.schema.get_field_index("__text")
             langs, scores, rejected = held.value.predict(batch.column(at).to_pylist())
-            columns = [batch.column(i) for i in range(batch.num_columns) if i != at]
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())],
+                [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())],
                 [f.name for f in schema],
             )
 
-    return given.mapInArrow(judge, schema)
+    return base.mapInArrow(judge, schema)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

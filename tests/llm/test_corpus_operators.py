@@ -1,0 +1,367 @@
+"""Corpus operators against brute force, round trips and held-out labels, with odd inputs."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerloom.llm import bag_minhash, chat_snapshots, decontamination, html_extraction, language_id, pattern_packing, pii, spot_signatures, token_counts, toxicity
+from ledgerloom.llm.common import words_of
+from ledgerloom.llm.token_ids import TokenIds, default_tokenizer
+
+SF = "/root/testdata/sf0.001"
+LONG = "the word of a long text, and so on. " * 9000
+ODD = [(1, "plain words here"), (2, None), (3, ""), (4, "plain words here"), (4, "plain words here"), (None, "null id"), (6, LONG), (7, "日本語 <|endoftext|> é²  \n \t x"), (8, "!?")]
+SCHEMA = "doc_id long, text string"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    # Clashing names must not matter.
+    return spark.createDataFrame(ODD, SCHEMA).withColumns({"__id": F.lit(1), "__text": F.lit("x"), "length": F.lit(0), "score": F.lit("s"), "bands": F.lit(2)})
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_token_ids_equal_the_library():
+    path, ranks = default_tokenizer()
+    known, small = TokenIds(path, ranks), TokenIds(path, ranks, piece=6)
+    pick = random.Random(1)
+    parts = [" ", "  ", "\n", "\t", " ", "'s", "a", "Été", "ß", "1", "23", ",", "<|endoftext|>", "日本", "x²", "!?", "don't", "\x1c", "é"]
+    for _ in range(3000):
+        text = "".join(pick.choices(parts, k=pick.randint(0, 16)))
+        expected = known.raw(text) if text else b""
+        assert known.ids(text) == expected and small.ids(text) == expected, text
+    assert known.ids(" " * 5000 + "a") == known.raw(" " * 5000 + "a")
+
+
+def test_token_counts(spark, docs, odd, empty):
+    path, ranks = default_tokenizer()
+    library = TokenIds(path)
+    for df in (docs, odd):
+        expected = collections.Counter((r.doc_id, len((r.text or "").encode()), len(library.raw(r.text or "")) // 4) for r in df.select("doc_id", "text").collect())
+        got = token_counts.token_counts(df).collect()
+        assert collections.Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in got) == expected
+        assert all(r.over_limit == (r.n_tokens > 512) for r in got)
+    assert token_counts.token_counts(empty).count() == 0
+
+
+def check_packing(rows, texts, capacity=2048):
+    library = TokenIds(default_tokenizer()[0])
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r.doc_id].append(r)
+    places = collections.defaultdict(list)
+    for r in rows:
+        places[r.sequence_id].append((r.offset, r.length))
+    for held in places.values():
+        at = 0
+        for offset, length in sorted(held):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    for doc_id, text in texts:
+        code = library.raw(text or "") + b"\0\0\0\0"
+        mine = sorted({(r.piece, r.start, r.length, r.ids_crc32) for r in by[doc_id]})
+        start = 0
+        for i, (piece, at, length, crc) in enumerate(mine):
+            assert piece == i and at == start and (i == 0 or length == capacity)
+            assert crc == zlib.crc32(code[4 * start : 4 * (start + length)])
+            start += length
+        assert 4 * start == len(code)
+    return len(places)
+
+
+def test_packing(spark, docs, odd, empty):
+    for df in (docs, odd):
+        rows = pattern_packing.pack_documents(df).collect()
+        used = check_packing(rows, df.select("doc_id", "text").collect())
+        assert used <= -(-sum(r.length for r in rows) // 2048) + 1
+    assert pattern_packing.pack_documents(empty).count() == 0
+
+
+def test_pack_lengths_holds_every_length():
+    rng = np.random.default_rng(3)
+    for size, n in ((16, 50), (64, 500), (2048, 3000), (2048, 1)):
+        counts = np.bincount(rng.integers(1, size + 1, n), minlength=size + 1)
+        held = np.zeros(size + 1, int)
+        for content, repeats in pattern_packing.pack_lengths(counts):
+            assert sum(a * b for a, b in content) <= size
+            for a, b in content:
+                held[a] += b * repeats
+        assert (held == counts).all()
+
+
+@pytest.mark.parametrize("limit", [decontamination.BROADCAST_BYTES, 0])
+def test_contamination_equals_brute_force(spark, docs, odd, empty, limit):
+    benchmark = spark.read.parquet(f"{SF}/benchmark.parquet").unionByName(
+        spark.createDataFrame([(900, "plain words"), (901, None), (902, " ?! ")], "item_id long, text string")
+    )
+    windows = {}
+    for r in benchmark.collect():
+        for run in decontamination.item_windows(words_of(r.text), 10):
+            windows.setdefault(run, set()).add(str(r.item_id))
+    for df in (docs, odd):
+        rows = df.select("doc_id", "text").collect()
+        expected = collections.Counter()
+        for r in rows:
+            words, hit, items = words_of(r.text), set(), set()
+            for n in {len(w) for w in windows}:
+                for i in range(len(words) - n + 1):
+                    found = windows.get(tuple(words[i : i + n]))
+                    if found:
+                        hit.update(range(i, i + n))
+                        items |= found
+            expected[(r.doc_id, len(words), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit))] += 1
+        got = decontamination.contamination(df, benchmark, broadcast_bytes=limit).collect()
+        assert collections.Counter(tuple(r) for r in got) == expected
+        kept = decontamination.contamination(df, benchmark, broadcast_bytes=limit, keep=True)
+        assert kept.columns == [*df.columns, "__contaminated"]
+        assert kept.where("__contaminated").count() == sum(n for k, n in expected.items() if k[-1])
+    assert decontamination.contamination(empty, benchmark, broadcast_bytes=limit).count() == 0
+    assert decontamination.contamination(docs, benchmark.limit(0), broadcast_bytes=limit).where("contaminated").count() == 0
+
+
+def near(seed, n=120, edits=4):
+    pick = random.Random(seed)
+    words = [f"w{pick.randrange(400)}" for _ in range(n)]
+    out = [" ".join(words)]
+    for k in range(6):
+        copy = list(words)
+        for _ in range(edits if k % 2 else 1):
+            copy[pick.randrange(n)] = f"x{pick.randrange(99)}"
+        out.append(" ".join(copy))
+    return out
+
+
+def brute_classes(rows):
+    bags = [bag_minhash.shingle_bag(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            same = (rows[i][1] or "") == (rows[j][1] or "")
+            if same or (len(bags[i][0]) and len(bags[j][0]) and bag_minhash.weighted_jaccard(bags[i], bags[j]) >= 0.8):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (doc_id, _) in enumerate(rows):
+        if doc_id is not None:
+            least[find(i)] = min(least.get(find(i), doc_id), doc_id)
+    return collections.Counter((doc_id, least.get(find(i))) for i, (doc_id, _) in enumerate(rows))
+
+
+def test_near_duplicates_equal_brute_force(spark, odd, empty):
+    rows = [(1000 + 10 * k + i, t) for k in range(4) for i, t in enumerate(near(k, edits=5))]
+    rows += [(2000, "one two"), (2001, "one two"), (2002, "line again " * 300), (2003, "line again " * 301), (2004, "line again " * 100)]
+    df = odd.select("doc_id", "text").union(spark.createDataFrame(rows, SCHEMA)).withColumn("root", F.lit(1))
+    got = collections.Counter((r[0], r["class"]) for r in bag_minhash.near_duplicate_classes(df).collect())
+    assert got == brute_classes([(r.doc_id, r.text) for r in df.collect()])
+    kept = bag_minhash.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted({c for _, c in got if c is not None})
+    assert bag_minhash.near_duplicate_classes(empty).count() == 0 and bag_minhash.keep_one(empty).count() == 0
+
+
+def test_blocks_find_what_pivots_leave(spark):
+    """A hub bucket whose pivot is far from the rest: links between the others must still be found."""
+    rows = [(i, t) for i, t in enumerate(near(50, n=150, edits=9) + near(50, n=150, edits=14))]
+    got = collections.Counter((r[0], r["class"]) for r in bag_minhash.near_duplicate_classes(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == brute_classes(rows)
+
+
+def test_bag_signature_is_unbiased():
+    for seed, repeat in ((1, 1), (2, 40)):
+        a, b = near(seed, 100, 6)[0] + " again and again" * repeat, near(seed, 100, 6)[2] + " again and again" * (repeat // 2)
+        x, y = bag_minhash.shingle_bag(a), bag_minhash.shingle_bag(b)
+        agree = (bag_minhash.bag_signature(x, 4000) == bag_minhash.bag_signature(y, 4000)).mean()
+        assert abs(agree - bag_minhash.weighted_jaccard(x, y)) < 0.04
+
+
+def test_spot_signatures(spark, docs, odd, empty):
+    for df in (docs, odd.where("doc_id <> 4")):
+        rows = sorted(((r.doc_id, r.text or "") for r in df.select("doc_id", "text").collect()), key=lambda x: (x[0] is None, -(x[0] or 0)))
+        got = {r.doc_id: r for r in spot_signatures.edited_fingerprints(df).collect()}
+        assert len(got) == len(rows)
+        for i, (doc_id, text) in enumerate(rows):
+            following = rows[(i + 1) % len(rows)][1]
+            half = len(text) // 2
+            edited = text[: len(text) - half] + following[:half]
+            r = got[doc_id]
+            own, other, after = map(spot_signatures.signatures, (text, edited, following))
+            assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+            assert r.fingerprint == spot_signatures.fingerprint_text(own) and r.edited_fingerprint == spot_signatures.fingerprint_text(other)
+            assert r.near_edited == spot_signatures.jaccard(own, other) and r.near_next == spot_signatures.jaccard(own, after)
+    assert spot_signatures.edited_fingerprints(odd).count() == len(ODD)
+    assert spot_signatures.edited_fingerprints(empty).count() == 0
+
+
+def test_spot_pairs_equal_brute_force(spark):
+    rows = [(i, "the " + t.replace(" ", " the ", 40)) for k in range(3) for i, t in enumerate(near(k, edits=3), 10 * k)]
+    pairs, members = spot_signatures.spot_pairs(spark.createDataFrame(rows, SCHEMA))
+    classes = {r.doc_id: r["class"] for r in members.collect()}
+    sets = {classes[i]: spot_signatures.signatures(t) for i, t in rows}
+    names = sorted(sets)
+    expected = {(a, b) for i, b in enumerate(names) for a in names[:i] if spot_signatures.jaccard(sets[a], sets[b]) >= 0.8}
+    assert {(r.class_a, r.class_b) for r in pairs.collect()} == expected
+
+
+def test_language(spark, odd, empty):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.withColumn("out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1)
+    model = language_id.fit_centroids(rows.where("not out"))
+    found = language_id.identify_language(rows.where("out"), model)
+    good = found.where("lang = lang_pred").count() / found.count()
+    assert good > 0.98
+    assert found.where("rejected").count() <= 0.005 * found.count()
+    got = {r.doc_id: r for r in language_id.identify_language(odd, model).collect()}
+    assert got[2].lang_pred == got[3].lang_pred == got[8].lang_pred == "und" and got[2].score == 0 and got[8].rejected
+    assert got[7].lang_pred != "und" and got[6].lang_pred == "en"
+    nothing = language_id.fit_centroids(empty.withColumn("lang", F.lit("en")))
+    assert {r.lang_pred for r in language_id.identify_language(odd, nothing).collect()} == {"und"}
+
+
+def test_language_counts_whole_texts(monkeypatch):
+    text = "Straße und Weg " * 50
+    whole = language_id.ngram_counts(text)
+    monkeypatch.setattr(language_id, "_PIECE", 64)
+    assert (language_id.ngram_counts(text) == whole).all()
+
+
+def test_toxicity(spark, odd, empty):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = toxicity.fit_toxicity(docs, labels.where(~out), sample=2500)
+    rows = toxicity.score_toxicity(docs.join(labels.where(out), "doc_id"), model).join(labels, "doc_id").collect()
+    assert np.mean([r.predicted == r.toxic for r in rows]) > 0.93
+    got = toxicity.score_toxicity(odd, model)
+    assert got.count() == len(ODD) and got.where("score < 0 or score > 1 or score is null").count() == 0
+    assert toxicity.score_toxicity(empty, model).count() == 0
+    assert toxicity.fit_toxicity(docs, labels.limit(0)).weights == {}
+
+
+def test_toxic_marginals_equal_plain_forward_backward():
+    model = toxicity.ChainField({"=bad": 4.0, "awf": 2.0}, -3.0, np.array([[0.3, -0.5], [-0.4, 0.8]]), 0.01)
+    words = ["x"] * 7 + ["bad"] + ["y"] * 90 + ["awful", "bad"] + ["z"] * 3
+    emit = np.array([[0.0, model.bias + (model.weight(w) or 0.0)] for w in words])
+    alpha, beta = np.zeros((len(words), 2)), np.zeros((len(words), 2))
+    alpha[0] = emit[0]
+    for i in range(1, len(words)):
+        alpha[i] = emit[i] + np.logaddexp.reduce(alpha[i - 1][:, None] + model.transition, 0)
+    for i in range(len(words) - 2, -1, -1):
+        beta[i] = np.logaddexp.reduce(model.transition + (emit[i + 1] + beta[i + 1])[None], 1)
+    p = np.exp(alpha + beta - np.logaddexp.reduce(alpha[-1])[None])[:, 1]
+    got = model.marginals(words)
+    assert [i for i, _ in got] == [7, 98, 99]
+    assert np.allclose([v for _, v in got], p[[7, 98, 99]], atol=1e-9)
+
+
+def brute_pii(text):
+    out = []
+    patterns = (
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+        ("card", r"[0-9]([\x20-]?[0-9])+"),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+    )
+    for kind, pattern in patterns:
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m.group())
+            if kind == "ip" and any(int(x) > 255 for x in m.group().split(".")):
+                continue
+            if kind == "card" and not (13 <= len(digits) <= 19 and pii.luhn(digits)):
+                continue
+            if kind == "phone" and not 9 <= len(digits) <= 15:
+                continue
+            out.append((kind, m.start(), m.end()))
+    return out
+
+
+def test_pii_base_equals_patterns():
+    pick = random.Random(2)
+    parts = ["a", "b@", "c.d", ".", "1", "25", "4111111111111111", "+49", "@", "-", " ", "é", "192.168.0.1", "0007", "_", "(", ")", "x@y.z", "555-0100", "\n"]
+    for _ in range(20000):
+        text = "".join(pick.choices(parts, k=pick.randint(0, 12)))
+        assert pii.base_spans(text) == brute_pii(text), text
+    assert pii.base_spans("a" * 300_000 + "1" * 300_000) == []
+
+
+def test_pii_added_and_masked(spark, odd, empty):
+    field = pii.fit_shapes()
+    text = 'Mail bob@example.com now. token = "4f1d64a9a4cd9723e1f4eafc27395915e6868ffa" and 12 of 30 in 1999'
+    ((base, more),) = pii.find_pii([text], field)
+    assert [k for k, _, _ in base] == ["email"] and [(k, text[a:b]) for k, a, b in more] == [("secret", "4f1d64a9a4cd9723e1f4eafc27395915e6868ffa")]
+    assert pii.masked(text, base + more) == 'Mail <EMAIL> now. token = "<SECRET>" and 12 of 30 in 1999'
+    got = pii.pii_spans(odd).collect()
+    assert len(got) == len(ODD) and all(r.spans == "" for r in got)
+    assert pii.mask_pii(odd).count() == len(ODD) and pii.pii_spans(empty).count() == 0 and pii.mask_pii(empty).count() == 0
+
+
+def test_html(spark, empty):
+    pages = [
+        (1, "http://h.org/a", "<body><nav>Home | News</nav><article><h1>T &amp; U</h1><p>One<br>two <b>x<p>Three<div class='ad'>Buy</div><section id=comments>no</section></article><footer>f</footer>"),
+        (2, "http://h.org/b", None), (3, None, ""), (4, "bad url", "just <i>text</i> &lt;here&gt; <!-- c --> a < b"),
+        (5, "http://k.org/1", "<body><div>All rights of this site are held by the owners</div><div>Only page five has this text of its own, read on</div></body>"),
+        (6, "http://k.org/2", "<body><div>All rights of this site are held by the owners</div><div>Page six tells quite another story than the one before</div></body>"),
+        (7, "http://k.org/3", "<p>open <b>never closed<script>var a = '<p>';</script> end"),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    got = {r.page_id: r.text for r in html_extraction.extract_main_text(df).collect()}
+    assert got == {
+        1: "T & U\nOne two x\nThree", 2: "", 3: "", 4: "just text <here> a < b",
+        5: "Only page five has this text of its own, read on", 6: "Page six tells quite another story than the one before", 7: "open never closed end",
+    }
+    assert html_extraction.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    real = spark.read.parquet(f"{SF}/pages.parquet")
+    for r in html_extraction.extract_main_text(real).join(real, "page_id").collect():
+        body = re.search("<article>(.*?)</article>", r.html, re.S).group(1)
+        assert r.text and r.n_chars == len(r.text) and r.text.count("\n") < body.count("<")
+
+
+def test_suffix_cover_equals_brute_force():
+    pick = random.Random(5)
+    streams = [[[pick.randrange(6) for _ in range(pick.randint(0, 40))] for _ in range(pick.randint(0, 4))] for _ in range(8)]
+    got = html_extraction.repeated_cover(streams, 4)
+    seen = collections.defaultdict(set)
+    for p, blocks in enumerate(streams):
+        for b in blocks:
+            for i in range(max(1, len(b) - 3)) if b else ():
+                seen[tuple(b[i : i + 4])].add(p)
+    for p, blocks in enumerate(streams):
+        for k, b in enumerate(blocks):
+            hit = set()
+            for i in range(max(1, len(b) - 3)) if b else ():
+                if len(seen[tuple(b[i : i + 4])]) > 1:
+                    hit.update(range(i, min(len(b), i + 4)))
+            if b:
+                assert abs(got[p][k] - len(hit) / len(b)) < 1e-12
+
+
+def test_chat(spark):
+    rows = [(1, 0, "user", "a"), (1, 1, "bot", "b"), (2, 0, "user", "a"), (2, 1, "bot", "b"), (2, 2, "user", "c"), (3, 0, "user", "a"), (4, 0, "user", "z"), (5, 0, "user", "z"),
+            (6, 0, None, None), (6, 0, None, None), (7, 5, "user", "a"), (7, 6, "bot", "q"), (None, 0, "user", "n"), (8, None, "user", "y"), (8, 1, "bot", "b")]
+    rows += [(9, i, "user", f"t{i}") for i in range(300)] + [(10, i, "user", f"t{i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("n", F.lit(1))
+    got = {r.conv_id: (r.n_turns, r.n_copies, r.rendered) for r in chat_snapshots.collapse_and_render(df).collect()}
+    assert set(got) == {2, 4, 6, 7, None, 8, 9}
+    assert got[2][:2] == (3, 1) and got[4][:2] == (1, 2) and got[6][:2] == (1, 1) and got[9][0] == 300
+    assert got[2][2] == "<|im_start|>user\na<|im_end|>\n<|im_start|>bot\nb<|im_end|>\n<|im_start|>user\nc<|im_end|>\n"
+    assert chat_snapshots.collapse_and_render(df.limit(0)).count() == 0
