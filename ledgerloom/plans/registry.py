@@ -14,6 +14,8 @@ MODULES: list[str] = [
     "ledgerloom.operators.joins",
     "ledgerloom.operators.windows",
     "ledgerloom.operators.texts",
+    "ledgerloom.sources.readers",
+    "ledgerloom.streaming.progress",
 ]
 
 
