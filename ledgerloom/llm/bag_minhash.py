@@ -26,7 +26,7 @@ THRESHOLD = 0.8
 # A pair of similarity 0.8 shares none of 26 bands of 5 with a probability of 3 in 100 000.
 BANDS, ROWS = 26, 5
 # Members of one bucket that one task compares with as many others; larger buckets are dealt in blocks.
-BLOCK = 256
+BLOCK = 1024
 # Of 130 components of a pair at similarity 0.8 fewer agree than this 3 times in a million (4.5 deviations).
 AGREE = 83
 
