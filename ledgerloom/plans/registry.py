@@ -14,6 +14,7 @@ MODULES: list[str] = [
     "ledgerloom.operators.joins",
     "ledgerloom.operators.windows",
     "ledgerloom.operators.texts",
+    "ledgerloom.operators.facts",
     "ledgerloom.sources.readers",
     "ledgerloom.streaming.progress",
 ]
