@@ -44,21 +44,24 @@ def deductions(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def base_scores(rows: DataFrame, *keys: str) -> DataFrame:
-    total = deductions(rows, *keys).groupBy(*keys).agg(F.sum("applied").alias("s"), F.sum("count").alias("findings"))
-    taken = round_half_up(F.least(F.lit(100.0), F.col("s")), 2)
-    return total.select(*keys, "findings", taken.alias("deduction"), round_half_up(F.greatest(F.lit(0.0), 100 - taken)).cast("int").alias("base_score"))
+    return _scored(rows, *keys).select(*keys, "findings", "deduction", "base_score")
 
 
-def ceiling_caps(rows: DataFrame, *keys: str) -> DataFrame:
-    """Findings that trigger each domain ceiling; those of low confidence never do."""
+def _ceilings():
+    """(name, cap, condition) of every domain ceiling; findings of low confidence never trigger one."""
     fires = F.col("confidence") != "low"
-    secret = fires & (F.col("rule") == "appsec.hardcoded-secret") & (F.col("sev") <= 1)
-    cve = fires & (F.col("rule") == "dependencies.vulnerable-package") & (F.col("sev") == 0)
-    drop = fires & (F.col("rule") == "data.destructive-migration") & (F.col("sev") <= 2)
-    kinds = (("appsec.committed-secret", 50, secret), ("dependencies.unpatched-critical-cve", 60, cve), ("data.destructive-migration", 70, drop))
+    return (
+        ("appsec.committed-secret", 50, fires & (F.col("rule") == "appsec.hardcoded-secret") & (F.col("sev") <= 1)),
+        ("dependencies.unpatched-critical-cve", 60, fires & (F.col("rule") == "dependencies.vulnerable-package") & (F.col("sev") == 0)),
+        ("data.destructive-migration", 70, fires & (F.col("rule") == "data.destructive-migration") & (F.col("sev") <= 2)),
+    )
+
+
+def ceiling_caps(rows: DataFrame, *keys: str) -> DataFrame:
+    """Findings that trigger each domain ceiling."""
     id_ = F.lit(None).cast("string")
     cap = F.lit(None).cast("int")
-    for name, most, when in kinds:
+    for name, most, when in _ceilings():
         id_, cap = F.when(when, F.lit(name)).otherwise(id_), F.when(when, F.lit(most)).otherwise(cap)
     return (
         rows.select(*keys, id_.alias("ceiling"), cap.alias("cap"), "id")
@@ -68,6 +71,28 @@ def ceiling_caps(rows: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def _scored(rows: DataFrame, *keys: str) -> DataFrame:
+    """Findings, deduction, base score, triggers and cap of every key in one aggregation, so one shuffle."""
+    counts = [F.count("*").alias("findings")]
+    for i, s in enumerate(SEVERITIES):
+        counts += [F.count_if(F.col("sev") == i).alias(f"n_{s}"), F.count_if((F.col("sev") == i) & (F.col("confidence") == "low")).alias(f"l_{s}")]
+    counts += [F.count_if(when).alias(f"t_{most}") for _, most, when in _ceilings()]
+    got = rows.groupBy(*keys).agg(*counts)
+    total = F.lit(0.0)
+    for s, (per, cap) in SEVERITY_POINTS.items():
+        weighted = F.col(f"n_{s}") - F.col(f"l_{s}") * F.lit(1 - LOW_CONFIDENCE_WEIGHT)
+        total = total + round_half_up(F.least(round_half_up(weighted * per, 2), F.lit(cap)), 2)
+    taken = round_half_up(F.least(F.lit(100.0), total), 2)
+    cap = F.lit(None).cast("int")
+    for _, most, _ in reversed(_ceilings()):  # the lowest cap that has triggers
+        cap = F.when(F.col(f"t_{most}") > 0, F.lit(most)).otherwise(cap)
+    triggers = sum((F.col(f"t_{most}") for _, most, _ in _ceilings()), F.lit(0))
+    return got.select(
+        *keys, "findings", taken.alias("deduction"), round_half_up(F.greatest(F.lit(0.0), 100 - taken)).cast("int").alias("base_score"),
+        triggers.cast("long").alias("triggers"), cap.alias("cap"),
+    )
+
+
 def coverage_status(ratio, total):
     return F.when(total == 0, 0).when(ratio >= SCORED_COVERAGE, 2).when(ratio >= PARTIAL_COVERAGE, 1).otherwise(0)
 
@@ -78,8 +103,7 @@ def domain_scores(rows: DataFrame, coverage: DataFrame) -> DataFrame:
     coverage has run, domain, present, verdicted (evidence). Little evidence with findings is partial
     and capped, without findings it isn't assessed; a domain without evidence is judged on findings.
     """
-    caps = ceiling_caps(rows, "run", "domain").groupBy("run", "domain").agg(F.min("cap").alias("cap"), F.sum("triggers").alias("triggers"))
-    scored = base_scores(rows, "run", "domain").join(caps, ["run", "domain"], "left").join(coverage, ["run", "domain"], "left")
+    scored = _scored(rows, "run", "domain").join(coverage, ["run", "domain"], "left")
     applies = F.coalesce(F.col("present"), F.lit(0)) > 0
     ratio = F.when(applies, F.floor(F.col("verdicted") / F.col("present") * 10000 + 0.5) / 10000).otherwise(F.lit(1.0))
     scored = scored.withColumns({"applies": applies, "ratio": ratio})
@@ -88,7 +112,7 @@ def domain_scores(rows: DataFrame, coverage: DataFrame) -> DataFrame:
     rank = F.when(~F.col("applies") | (F.col("ratio") >= SCORED_COVERAGE), 2).when((F.col("ratio") >= PARTIAL_COVERAGE) | (F.col("findings") > 0), 1).otherwise(0)
     weight = round_half_up(lookup(F.col("domain"), DOMAIN_WEIGHTS) * F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("ratio"))), 2)
     return scored.select(
-        "run", "domain", "findings", "deduction", "base_score", F.coalesce("triggers", F.lit(0)).alias("triggers"), "ratio",
+        "run", "domain", "findings", "deduction", "base_score", "triggers", "ratio",
         limited.alias("score"), band_of(limited).alias("band"), label_of(rank, STATUSES).alias("status"), weight.alias("effective_weight"),
     )
 
