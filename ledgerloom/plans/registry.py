@@ -15,6 +15,7 @@ MODULES: list[str] = [
     "ledgerloom.operators.windows",
     "ledgerloom.operators.texts",
     "ledgerloom.operators.facts",
+    "ledgerloom.operators.selections",
     "ledgerloom.sources.readers",
     "ledgerloom.streaming.progress",
 ]
