@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scales import KIND_DOMAIN, UNIT_KINDS, lookup, sql_case
-from ledgerloom.sources.views import steps, units, with_views
+from ledgerloom.sources.views import steps, units, with_int, with_views
 
 
 def audit_coverage(rows: DataFrame) -> DataFrame:
@@ -172,3 +172,4 @@ ORACLES = {
  (SELECT kind, count(*) AS a, count(*) FILTER (cause = 'audited') AS v FROM v_unit WHERE kind <> 'cron' GROUP BY kind) USING (kind)""", "v_unit"),
     "set07_retry_merge": with_views("SELECT run, CASE WHEN cause = 'inconclusive' AND unit_id % 2 = 0 THEN 'audited' ELSE cause END AS cause, count(*) AS n FROM v_unit GROUP BY ALL", "v_unit"),
 }
+ORACLES["agg09_skip_reasons"] = with_int(ORACLES["agg09_skip_reasons"], "place")

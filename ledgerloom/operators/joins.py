@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scales import DOMAINS
-from ledgerloom.sources.views import batches, edges, findings, lines, spans, table, triage, units, with_views
+from ledgerloom.sources.views import batches, edges, findings, lines, spans, table, triage, units, with_int, with_views
 
 
 def domain_totals(rows: DataFrame) -> DataFrame:
@@ -206,3 +206,4 @@ ORACLES = {
     "win09_relocation": with_views("SELECT r.doc_id, r.cited, coalesce(found, r.cited) AS line_no, found IS NOT NULL AS anchored FROM refs r LEFT JOIN (SELECT r.doc_id, r.cited, min(l.line_no) AS found FROM refs r JOIN v_line l ON l.doc_id = r.doc_id AND abs(l.line_no - r.cited) <= 50 AND l.line = r.needle GROUP BY ALL HAVING count(*) = 1) h USING (doc_id, cited)", "v_line", refs="SELECT doc_id, line_no + 2 AS cited, line AS needle FROM v_line WHERE line_no % 5 = 1 AND length(line) > 20"),
     "agg37_triage_changes": with_views(f"SELECT source, count(*) AS before, count(*) FILTER (verdict <> 'false') AS after, count(*) FILTER (verdict = 'overstated') AS lowered FROM ({_VERD}) GROUP BY source", "v_triage"),
 }
+ORACLES["join12_related_units"] = with_int(ORACLES["join12_related_units"], "place")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.scales import UNIT_KINDS, rank_of
 from ledgerloom.functions.text import glob_to_regex, version
 from ledgerloom.operators.normalise import volume_examples, volume_groups
-from ledgerloom.sources.views import batches, findings, lines, table, units, with_views
+from ledgerloom.sources.views import batches, findings, lines, table, units, with_int, with_views
 
 GREP_LIMIT = 200
 
@@ -151,3 +151,4 @@ ORACLES = {
     "srt03_unit_order": with_views(f"SELECT run, unit_id, row_number() OVER (PARTITION BY run ORDER BY {_KR}, file, line, unit_id) AS place FROM v_unit", "v_unit"),
     "scl22_env_substitution": with_views("SELECT unit_id, 'run ' || segment || ' for ' || kind || ' and ${{ env.NONE }} at ' || file AS text FROM v_unit", "v_unit"),
 }
+ORACLES["srt03_unit_order"] = with_int(ORACLES["srt03_unit_order"], "place")

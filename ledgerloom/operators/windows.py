@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scales import KIND_BASE, UNIT_KINDS, lookup, rank_of, round_half_up, sql_case
-from ledgerloom.sources.views import batches, lines, table, units, with_views
+from ledgerloom.sources.views import batches, lines, table, units, with_int, with_views
 
 
 def risk_scores(rows: DataFrame) -> DataFrame:
@@ -172,3 +172,7 @@ ORACLES = {
     "agg23_picked_statement": with_views("SELECT kind, segment AS statement, n FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n DESC, segment) AS p FROM (SELECT kind, segment, count(*) AS n FROM v_unit GROUP BY ALL)) WHERE p = 1", "v_unit"),
     "win15_latest_reply": "SELECT conv_id, arg_max(role, turn) AS role, arg_max(text, turn) AS text, count(*) AS turns FROM conversations GROUP BY conv_id",
 }
+ORACLES["srt04_risk_order"] = with_int(ORACLES["srt04_risk_order"], "place")
+ORACLES["agg35_top_reasons"] = with_int(ORACLES["agg35_top_reasons"], "place")
+ORACLES["win06_budget_prefix"] = with_int(ORACLES["win06_budget_prefix"], "place")
+ORACLES["win04_ordinals"] = with_int(ORACLES["win04_ordinals"], "ordinal")

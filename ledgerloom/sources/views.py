@@ -193,4 +193,9 @@ def with_views(body: str, *names: str, recursive: bool = False, **more: str) ->
     return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(parts) + "\n" + body
 
 
+def with_int(sql: str, column: str) -> str:
+    """The statement with one column as INTEGER, the type of Spark's row numbers."""
+    return f"SELECT * REPLACE (CAST({column} AS INTEGER) AS {column}) FROM ({sql})"
+
+
 Query = Callable[[SparkSession, str], DataFrame]
