@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +12,8 @@ from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField,
 
 _TYPES = {"boolean": BooleanType, "double": DoubleType, "string": StringType}
 
+_ROOT = str(Path(__file__).resolve().parents[2])
+
 # Bytes of Arrow data handed to Python at once; rows are limited too, for tables of very short texts.
 BATCH_BYTES = 8 << 20
 BATCH_ROWS = 4000
@@ -32,7 +36,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small by bytes, so that very long texts don't add up in a worker."""
+    """Keep Arrow batches small by bytes, so that very long texts don't add up in a worker.
+
+    Workers also get this library's folder on their path, for sessions started in another folder.
+    """
+    known = spark.sparkContext.environment
+    if _ROOT not in known.get("PYTHONPATH", "").split(os.pathsep):
+        known["PYTHONPATH"] = os.pathsep.join(filter(None, (known.get("PYTHONPATH"), _ROOT)))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
