@@ -355,6 +355,36 @@ def test_suffix_cover_equals_brute_force():
                 assert abs(got[p][k] - len(hit) / len(b)) < 1e-12
 
 
+def _page_words(page, n):
+    return " ".join(f"word{page}x{i}" for i in range(n))
+
+
+def test_html_counts_over_the_whole_host(spark):
+    # A notice on just two of 1200 pages of a host: they needn't be neighbours.
+    notice = [" ".join(f"notice{k}of{i}" for i in range(10)) for k in range(600)]
+    pages = [(p, f"http://big.org/{p}", f"<div>{notice[p % 600]}</div><div>{_page_words(p, 12)}</div><div>ok{p % 600}</div>") for p in range(1200)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extraction.extract_main_text(df).collect()}
+    assert got == {p: _page_words(p, 12) for p in range(1200)}
+    # Other hosts don't count.
+    apart = df.withColumn("url", F.concat(F.lit("http://h"), (F.col("page_id") >= 600).cast("string"), F.lit(".org/"), "page_id"))
+    assert all("notice" in r.text for r in html_extraction.extract_main_text(apart).collect())
+
+
+def test_run_hashes_cover_as_the_array():
+    pick = random.Random(6)
+    streams = [[[str(pick.randrange(6)) for _ in range(pick.randint(1, 40))] for _ in range(pick.randint(0, 4))] for _ in range(8)]
+    share = html_extraction.repeated_cover([[[int(t) for t in b] for b in blocks] for blocks in streams], 4)
+    known, seen = {}, collections.defaultdict(set)
+    for p, blocks in enumerate(streams):
+        for b in blocks:
+            for h in html_extraction.run_hashes(b, known, 4).tolist():
+                seen[h].add(p)
+    repeated = np.array([h for h, pages in seen.items() if len(pages) > 1], np.int64)
+    for blocks, own in zip(streams, share, strict=True):
+        assert np.allclose([html_extraction.covered_tokens(b, repeated, known, 4).mean() for b in blocks], own)
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "a"), (1, 1, "bot", "b"), (2, 0, "user", "a"), (2, 1, "bot", "b"), (2, 2, "user", "c"), (3, 0, "user", "a"), (4, 0, "user", "z"), (5, 0, "user", "z"),
             (6, 0, None, None), (6, 0, None, None), (7, 5, "user", "a"), (7, 6, "bot", "q"), (None, 0, "user", "n"), (8, None, "user", "y"), (8, 1, "bot", "b")]
