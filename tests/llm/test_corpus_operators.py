@@ -371,6 +371,18 @@ def test_html_counts_over_the_whole_host(spark):
     assert all("notice" in r.text for r in html_extraction.extract_main_text(apart).collect())
 
 
+def test_html_copies_are_one_page(spark):
+    story, other = _page_words(1, 30), _page_words(2, 5)
+    notice = "all rights of this site are held by its owners"
+    page, mixed = f"<div>{notice}</div><div>{story}</div>", f"<div>{other} {notice} tail</div>"
+    pages = [(1, "http://m.org/a", page), (1, "http://m.org/a", page), (2, "https://m.org/a?utm=1", page), (3, "http://m.org/b", mixed),
+             (4, "http://n.org/a", page), (4, "http://n.org/a", page), (5, "https://n.org/a", page)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = sorted((r.page_id, r.text) for r in html_extraction.extract_main_text(df).collect())
+    # On m.org the notice is cut, out of the middle of a block too; n.org has one page, thrice.
+    assert got == [(1, story), (1, story), (2, story), (3, f"{other} tail")] + [(k, f"{notice}\n{story}") for k in (4, 4, 5)]
+
+
 def test_run_hashes_cover_as_the_array():
     pick = random.Random(6)
     streams = [[[str(pick.randrange(6)) for _ in range(pick.randint(1, 40))] for _ in range(pick.randint(0, 4))] for _ in range(8)]
