@@ -383,6 +383,15 @@ def test_html_copies_are_one_page(spark):
     assert got == [(1, story), (1, story), (2, story), (3, f"{other} tail")] + [(k, f"{notice}\n{story}") for k in (4, 4, 5)]
 
 
+def test_html_article_marked_aside_is_no_article(spark):
+    story, menu = _page_words(1, 20), "home news sport weather travel music books films"
+    remark = '<article class="comment"><p>nice one</p></article>'
+    pages = [(1, "http://c.org/1", f"<div>{menu}</div><div>{story}</div>{remark}"), (2, "http://c.org/2", f"<div>{menu}</div><article><p>text two</p></article>{remark}"),
+             (3, "http://c.org/3", remark)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_extraction.extract_main_text(df).collect()} == {1: story, 2: "text two", 3: ""}
+
+
 def test_run_hashes_cover_as_the_array():
     pick = random.Random(6)
     streams = [[[str(pick.randrange(6)) for _ in range(pick.randint(1, 40))] for _ in range(pick.randint(0, 4))] for _ in range(8)]
