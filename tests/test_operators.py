@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.scales import band_of, rank_of, round_half_up
 from ledgerloom.functions.text import duration_text, entropy, glob_to_regex, route_of_file, slug, split_words, version
-from ledgerloom.operators.joins import asof_backward, shortest_paths
+from ledgerloom.operators.joins import asof_backward, related, shortest_paths
 from ledgerloom.operators.windows import greedy_batches, within_budget
 from ledgerloom.sources.readers import read_reply, read_sarif
 
@@ -52,3 +52,15 @@ def test_readers_take_bad_input(spark):
     df = spark.createDataFrame([(1, "not json"), (2, None), (3, '{"runs":[]}'), (4, '{"runs":[{"tool":{"driver":{"name":"t","rules":[{"id":"r0","defaultConfiguration":{"level":"note"}}]}},"results":[{"ruleIndex":0,"message":{"text":"m"}}]}]}')], "report long, body string")
     assert [(r.report, r.rule, r.level, r.file) for r in read_sarif(df).collect()] == [(4, "r0", "note", None)]
     assert {r.report: r.state for r in read_reply(df.where("body is not null")).collect()}[1] == "no-json"
+
+
+def test_related_units_of_every_run(spark):
+    rows = [(run, f"f{k % 2}", 10 * run + k, k) for run in range(1, 6) for k in range(6)]
+    df = spark.createDataFrame(rows, "run long, file string, unit_id long, line long")
+    want = set()
+    for run, file, unit, line in rows:
+        near = sorted((abs(line - b[3]), b[2]) for b in rows if b[:2] == (run, file) and b[2] != unit)
+        want |= {(unit, place + 1, other) for place, (_, other) in enumerate(near[:2])}
+    got = [(r.unit_id, r.place, r.other) for r in related(df).collect()]
+    assert len(got) == 60 and set(got) == want
+    assert {r.unit_id // 10 for r in related(df, wanted="run = 3").collect()} == {3}
