@@ -24,7 +24,6 @@ from .common import WORD_BYTES, bound_batches, id_remainder, read_table
 # Bounds of the labelled sample and of the evidence kept.
 SAMPLE_DOCUMENTS = 6000
 MAX_EVIDENCE = 2000
-WINDOWS_PER_DOCUMENT = 12
 MIN_RATIO = 30.0  # likelihood ratio statistic; about 1 in 20 million by chance
 MIN_ODDS = 6.0
 PREFIXES = (3, 4, 5, 6, 7)
@@ -112,22 +111,25 @@ class ChainField:
         return min(1.0, max(0.0, 1.0 - clean))
 
 
-def fit_windows(signatures: np.ndarray, windows: np.ndarray, states: np.ndarray, rounds: int = 300) -> tuple:
+def fit_windows(signatures: np.ndarray, windows: np.ndarray, states: np.ndarray, rounds: int = 300, counts: np.ndarray | None = None) -> tuple:
     """Weights, bias and transition of largest penalised likelihood (Adam on the full batch).
 
     signatures: rows of 0/1 features, row 0 none; windows: (n, length) signature numbers, -1 beyond
-    the text; states: (n, length) 0/1. Returns weights, bias, transition.
+    the text; states: (n, length) 0/1; counts: how often each window occurs (once each if None).
+    Returns weights, bias, transition.
     """
     n, length = windows.shape
+    counts = np.ones(n) if counts is None else np.asarray(counts, float)
+    total, each = counts.sum(), np.repeat(counts[:, None], length, 1)
     real = windows >= 0
     index = np.maximum(windows, 0)
     k = signatures.shape[1]
     theta = np.zeros(k + 5)
     theta[k] = -2.0
     first, second = np.zeros_like(theta), np.zeros_like(theta)
-    seen_state = np.bincount(index[real], weights=states[real].astype(float), minlength=len(signatures))
+    seen_state = np.bincount(index[real], weights=(states * each)[real], minlength=len(signatures))
     pair = real[:, 1:] & real[:, :-1]
-    seen_pairs = np.bincount((states[:, :-1] * 2 + states[:, 1:])[pair], minlength=4).astype(float)
+    seen_pairs = np.bincount((states[:, :-1] * 2 + states[:, 1:])[pair], weights=each[:, 1:][pair], minlength=4)
     for t in range(1, rounds + 1):
         emission = signatures @ theta[:k] + theta[k]
         trans = np.exp(theta[k + 1 :]).reshape(2, 2)
@@ -146,12 +148,12 @@ def fit_windows(signatures: np.ndarray, windows: np.ndarray, states: np.ndarray,
             beta[:, j] = b / b.sum(1, keepdims=True)
         both = alpha * beta
         p = both[:, :, 1] / both.sum(2)
-        expected = np.bincount(index[real], weights=p[real], minlength=len(signatures))
+        expected = np.bincount(index[real], weights=(p * each)[real], minlength=len(signatures))
         joint = alpha[:, :-1, :, None] * trans[None, None] * (pot[:, 1:] * beta[:, 1:])[:, :, None, :]
         joint /= joint.sum((2, 3), keepdims=True)
-        pairs = (joint * pair[:, :, None, None]).sum((0, 1)).ravel()
+        pairs = (joint * (pair * each[:, 1:])[:, :, None, None]).sum((0, 1)).ravel()
         delta = seen_state - expected
-        gradient = np.concatenate([signatures.T @ delta, [delta.sum()], seen_pairs - pairs]) / n
+        gradient = np.concatenate([signatures.T @ delta, [delta.sum()], seen_pairs - pairs]) / total
         gradient -= 1e-4 * theta
         first = 0.9 * first + 0.1 * gradient
         second = 0.99 * second + 0.01 * gradient**2
@@ -246,7 +248,7 @@ def fit_toxicity(
                 of.append(1 if y else 0)
                 clear.append(not hits)
                 # Every document gives the windows of its evidence and one from its middle.
-                for i in [*hits[:: max(1, -(-len(hits) // WINDOWS_PER_DOCUMENT))], len(words) // 2]:
+                for i in [*hits, len(words) // 2]:
                     span = range(i - REACH, i + REACH + 1)
                     row = ["-" if j < 0 or j >= len(words) else ".".join(map(str, marks_[j])) for j in span]
                     if len(row) == length:
@@ -261,21 +263,21 @@ def fit_toxicity(
     clear = {r["marks"]: r["count"] for r in windows if r["y"] == -2}
     base = clear.get("1", 0) / max(1, sum(clear.values()))
     signature: dict[str, int] = {"": 0}
-    index, states = [], []
+    index, states, counts_ = [], [], []
     for r in windows:
         if r["y"] < 0:
             continue
         parts = r["marks"].split(" ")
         row = [-1 if p == "-" else signature.setdefault(p, len(signature)) for p in parts]
         state = [int(r["y"] == 1 and k > 0) for k in row]
-        for _ in range(min(r["count"], 200)):
-            index.append(row)
-            states.append(state)
+        index.append(row)
+        states.append(state)
+        counts_.append(r["count"])
     table = np.zeros((len(signature), len(evidence)), np.float32)
     for marks_, k in signature.items():
         if marks_:
             table[k, [int(x) for x in marks_.split(".")]] = 1
-    weights, bias, transition = fit_windows(table, np.array(index), np.array(states))
+    weights, bias, transition = fit_windows(table, np.array(index), np.array(states), counts=np.array(counts_))
     return ChainField({f: float(w) for f, w in zip(evidence, weights, strict=True)}, bias, transition, base)
 
 

@@ -258,6 +258,32 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.fit_toxicity(docs, labels.limit(0)).weights == {}
 
 
+def test_toxic_windows_enter_with_their_counts(spark, monkeypatch):
+    # 400 clean and 300 toxic documents of one word each, and a toxic one with the word 40 times.
+    texts = [(i, "calm", 0) for i in range(400)] + [(400 + i, "vile", 1) for i in range(300)] + [(900, "vile " * 40, 1)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, toxic int")
+    seen, fit = {}, toxicity.fit_windows
+
+    def spy(signatures, windows, states, *more, counts=None):
+        seen["n"] = len(windows) if counts is None else int(counts.sum())
+        return fit(signatures, windows, states, *more, counts=counts) if counts is not None else fit(signatures, windows, states, *more)
+
+    monkeypatch.setattr(toxicity, "fit_windows", spy)
+    toxicity.fit_toxicity(df, df)
+    # Each clean document one window, each toxic one another of its middle.
+    assert seen["n"] == 400 + 300 * 2 + 40 + 1
+
+
+def test_toxic_counts_equal_repeated_windows():
+    pick = np.random.default_rng(3)
+    signatures = np.array([[0, 0], [1, 0], [1, 1]], np.float32)
+    windows = pick.integers(-1, 3, (6, 5))
+    states, counts = ((windows > 0) & (pick.random((6, 5)) < 0.7)).astype(int), np.array([1, 500, 3, 40, 2, 7])
+    once = toxicity.fit_windows(signatures, windows, states, counts=counts)
+    plain = toxicity.fit_windows(signatures, np.repeat(windows, counts, 0), np.repeat(states, counts, 0))
+    assert all(np.allclose(a, b, atol=1e-6) for a, b in zip(once, plain, strict=True))
+
+
 def test_toxic_marginals_equal_plain_forward_backward():
     model = toxicity.ChainField({"=bad": 4.0, "awf": 2.0}, -3.0, np.array([[0.3, -0.5], [-0.4, 0.8]]), 0.01)
     words = ["x"] * 7 + ["bad"] + ["y"] * 90 + ["awful", "bad"] + ["z"] * 3
