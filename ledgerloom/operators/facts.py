@@ -13,15 +13,24 @@ FACT_EVIDENCE = 25
 ASSURANCE_EVIDENCE = 12
 
 
+def with_first(totals: DataFrame, rows: DataFrame, keys: list[str], order: list[str], value: str, limit: int, name: str) -> DataFrame:
+    """totals with the first `limit` values of each group, joined by commas; no more than these meet in one task.
+
+    Rows are distinct by (keys, value); the rank filter is applied before the exchange too.
+    """
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    kept = rows.withColumn("place", place).where(F.col("place") <= limit).groupBy(*[F.col(k).alias(f"__{k}") for k in keys])
+    kept = kept.agg(F.array_sort(F.collect_list(F.struct("place", F.col(value).alias("v")))).alias("__e"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    joined = totals.join(kept, same, "left").withColumn(name, F.coalesce(F.array_join(F.transform("__e", lambda x: x["v"]), ","), F.lit("")))
+    return joined.select(*totals.columns, name)
+
+
 def merged_facts(rows: DataFrame, limit: int = FACT_EVIDENCE) -> DataFrame:
     """Facts by kind and value: strongest confidence, the first distinct evidence, the first detail."""
-    place = Window.partitionBy("kind", "value", "evidence").orderBy("seq")
-    rows = rows.withColumn("n", F.row_number().over(place))
-    got = rows.groupBy("kind", "value").agg(
-        F.min("conf").alias("conf"), F.min_by("detail", "seq").alias("detail"),
-        F.array_sort(F.collect_list(F.when(F.col("n") == 1, F.struct("seq", "evidence")))).alias("e"),
-    )
-    return got.select("kind", "value", "conf", "detail", F.array_join(F.transform(F.slice("e", 1, limit), lambda x: x["evidence"]), ",").alias("evidence"))
+    each = rows.groupBy("kind", "value", "evidence").agg(F.min("seq").alias("seq"))
+    got = rows.groupBy("kind", "value").agg(F.min("conf").alias("conf"), F.min_by("detail", "seq").alias("detail"))
+    return with_first(got, each, ["kind", "value"], ["seq", "evidence"], "evidence", limit, "evidence")
 
 
 def absences(probes: DataFrame, facts: DataFrame) -> DataFrame:
@@ -32,8 +41,9 @@ def absences(probes: DataFrame, facts: DataFrame) -> DataFrame:
 
 def assurances(rows: DataFrame, limit: int = ASSURANCE_EVIDENCE) -> DataFrame:
     """Checked units by domain kind and check: distinct units and the first evidence."""
-    got = rows.groupBy("kind", "check").agg(F.countDistinct("unit_id").alias("units"), F.array_sort(F.collect_set("file")).alias("files"))
-    return got.select("kind", "check", "units", F.array_join(F.slice("files", 1, limit), ",").alias("evidence"))
+    got = rows.groupBy("kind", "check").agg(F.countDistinct("unit_id").alias("units"))
+    files = rows.where("file is not null").select("kind", "check", "file").distinct()
+    return with_first(got, files, ["kind", "check"], ["file"], "file", limit, "evidence")
 
 
 def containment_rollup(rows: DataFrame) -> DataFrame:
@@ -59,7 +69,9 @@ def usage(rows: DataFrame) -> DataFrame:
 
 def license_rollup(rows: DataFrame, unknown: str, listed: int = 3) -> DataFrame:
     """One finding for all licences of a brand that are `unknown`: number and the first names."""
-    return rows.where(unknown).groupBy("p_brand").agg(F.count("*").alias("n"), F.array_join(F.slice(F.array_sort(F.collect_set("p_name")), 1, listed), ",").alias("listed"))
+    rows = rows.where(unknown)
+    names = rows.where("p_name is not null").select("p_brand", "p_name").distinct()
+    return with_first(rows.groupBy("p_brand").agg(F.count("*").alias("n")), names, ["p_brand"], ["p_name"], "p_name", listed, "listed")
 
 
 def suppression_summary(rows: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.scales import band_of, rank_of, round_half_up
 from ledgerloom.functions.text import duration_text, entropy, glob_to_regex, route_of_file, slug, split_words, version
+from ledgerloom.operators.facts import assurances, license_rollup, merged_facts
 from ledgerloom.operators.joins import asof_backward, related, shortest_paths
 from ledgerloom.operators.windows import greedy_batches, within_budget
 from ledgerloom.sources.readers import read_reply, read_sarif
@@ -64,3 +65,14 @@ def test_related_units_of_every_run(spark):
     got = [(r.unit_id, r.place, r.other) for r in related(df).collect()]
     assert len(got) == 60 and set(got) == want
     assert {r.unit_id // 10 for r in related(df, wanted="run = 3").collect()} == {3}
+
+
+def test_first_evidence_is_ranked_before_it_is_collected(spark):
+    rows = [("k", None, f"e{i % 40:02d}", "d", 0, f"s{i:03d}", i, "c", f"f{i % 30:02d}", "b", f"n{i % 9}") for i in range(200)] + [("q", "v", None, "d", 1, "s", 1, "c", None, "b2", None)]
+    df = spark.createDataFrame(rows, "kind string, value string, evidence string, detail string, conf int, seq string, unit_id long, check string, file string, p_brand string, p_name string")
+    facts, checked, names = merged_facts(df), assurances(df), license_rollup(df, "true")
+    assert sorted(map(tuple, facts.collect())) == [("k", None, 0, "d", ",".join(f"e{i:02d}" for i in range(25))), ("q", "v", 1, "d", "")]
+    assert sorted(map(tuple, checked.collect())) == [("k", "c", 200, ",".join(f"f{i:02d}" for i in range(12))), ("q", "c", 1, "")]
+    assert sorted(map(tuple, names.collect())) == [("b", 200, "n0,n1,n2"), ("b2", 1, "")]
+    for got in (facts, checked, names):
+        assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
