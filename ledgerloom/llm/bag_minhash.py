@@ -224,7 +224,7 @@ def _across(open_: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 def near_duplicate_classes(
     df: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD
 ) -> DataFrame:
-    """id, __key (of the text) and class: the least id of all rows linked by pairs that reach the threshold.
+    """id, __key and __root (of the text and its class), class: the least id of all rows linked by pairs that reach the threshold.
 
     Equal texts are one node whatever their number. Null texts count as empty; texts without words
     are alike only if equal. Repeated rows are in one class; a null id joins no minimum unless all of
@@ -276,19 +276,25 @@ def near_duplicate_classes(
         .select("__id", "__key", F.coalesce("root", "__key").alias("__root"))
     )
     least = classes.groupBy("__root").agg(F.min("__id").alias("class"))
-    return classes.join(least, "__root").select(F.col("__id").alias(id_col), "__key", "class")
+    return classes.join(least, "__root").select(F.col("__id").alias(id_col), "__key", "__root", "class")
 
 
 def keep_one(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of df with the least id of each near-duplicate class; of repeated such rows one stays."""
+    """One row of df for each near-duplicate class: that of least id, null ids last.
+
+    Among rows of that id in the class it is one of the text of least hash. Rows of different classes
+    all stay, whatever ids they share; null texts count as empty; columns are passed on as they are;
+    an empty table gives an empty table.
+    """
     found = near_duplicate_classes(df, text_col, id_col, threshold)
-    kept = checkpointed(
-        found.where(F.col(id_col).eqNullSafe(F.col("class"))).groupBy(id_col, "class").agg(F.min("__key").alias("__key"), F.count("*").alias("__n"))
-    )
+    each = found.groupBy("__root", F.col(id_col).alias("__i"), "__key").agg(F.count("*").alias("__n"))
+    rank = F.struct(F.col("__i").isNull().alias("null"), F.col("__i").alias("i"), F.col("__key").alias("k"), F.col("__n").alias("n"))
+    kept = each.groupBy("__root").agg(F.min(rank).alias("r"))
+    kept = checkpointed(kept.select(F.col("r.i").alias("__keep"), F.col("r.k").alias("__k"), F.col("r.n").alias("__n")))
     name = free_name(df, "__key")
     marked = df.withColumn(name, F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))))
-    least = kept.select(F.col(id_col).alias("__keep"), F.col("__key").alias("__k"))
-    marked = marked.join(least, marked[id_col].eqNullSafe(least["__keep"]) & (marked[name] == least["__k"]), "left_semi")
+    marked = marked.join(kept, marked[id_col].eqNullSafe(kept["__keep"]) & (marked[name] == kept["__k"]), "left_semi")
+    # Rows of equal id and text all match; one of them stays.
     if not kept.where("__n > 1").isEmpty():
         marked = marked.dropDuplicates([id_col, name])
     return marked.drop(name)
