@@ -11,12 +11,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import math
+import os
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WORD_BYTES, bound_batches, read_table
@@ -134,21 +135,40 @@ def spot_pairs(
     return checked.select("class_a", "class_b", "similarity"), members
 
 
+def _order(rows: DataFrame) -> Column:
+    """A double that never grows where the id falls: ranges are cut by it, rows are sorted by the id itself.
+
+    Texts and bytes count by six bytes after what all of them begin with; other types by their value.
+    """
+    kind = rows.schema["__id"].dataType.typeName()
+    if kind in ("string", "binary"):
+        ends = rows.agg(F.min(F.col("__id").cast("binary")).alias("lo"), F.max(F.col("__id").cast("binary")).alias("hi")).first()
+        common = len(os.path.commonprefix([bytes(ends["lo"] or b""), bytes(ends["hi"] or b"")]))
+        six = F.rpad(F.hex(F.substring(F.col("__id").cast("binary"), common + 1, 6)), 12, "0")
+        number = F.conv(six, 16, 10).cast("double")
+    elif kind == "date":
+        number = F.unix_date("__id").cast("double")
+    else:
+        number = F.col("__id").cast("double")
+    return F.coalesce(-F.nanvl(number, F.lit(1e308)), F.lit(1e308))
+
+
 def with_next(df: DataFrame, text_col: str, id_col: str, partitions: int | None = None) -> DataFrame:
     """Rows dealt over ranges of descending id, each range closed by the first rows of the one after it.
 
-    Returns __part, __guest (true for rows lent to the range before theirs), __order, the id, the
-    text; sorted in each partition. Null ids come last. The last range gets the first rows of all.
+    Returns __guest (true for rows lent to the range before theirs), __id, __text; sorted in each
+    partition by the id itself, of any type that can be ordered. Null ids come last. The last range
+    gets the first rows of all.
     """
     spark = df.sparkSession
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
-    rows = rows.withColumn("__order", F.coalesce(-F.col("__id").cast("double"), F.lit(1e308)))
+    rows = rows.withColumn("__order", _order(rows))
     steps = [i / partitions for i in range(partitions + 1)]
     # Existing values at even steps; every range starts at one of them.
-    cuts = rows.agg(F.percentile_approx("__order", steps, 100 * partitions)).first()[0] or []
-    lowest = rows.agg(F.min("__order")).first()[0]
-    cuts = sorted({c for c in cuts if c > lowest}) if lowest is not None else []
+    told = rows.agg(F.percentile_approx("__order", steps, 100 * partitions).alias("cuts"), F.min("__order").alias("lowest")).first()
+    lowest = told["lowest"]
+    cuts = sorted({c for c in told["cuts"] or [] if c > lowest})
     if len(cuts):
         ranges = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="__order", outputCol="__bucket")
         rows = ranges.transform(rows).withColumn("__part", F.col("__bucket").cast("int"))
@@ -164,9 +184,9 @@ def with_next(df: DataFrame, text_col: str, id_col: str, partitions: int | None
             F.when(lent.isNotNull(), F.struct(lent.alias("__part"), F.lit(True).alias("__guest"))),
         )
     )
-    dealt = rows.select("__order", "__id", "__text", F.inline(copies).alias("__to", "__guest"))
+    dealt = rows.select("__id", "__text", F.inline(copies).alias("__to", "__guest"))
     dealt = dealt.repartitionById(len(cuts) + 1, F.col("__to"))
-    return dealt.sortWithinPartitions("__guest", "__order", F.xxhash64("__text"), "__text").select("__guest", "__id", "__text")
+    return dealt.sortWithinPartitions("__guest", F.col("__id").desc_nulls_last(), F.xxhash64("__text"), "__text").select("__guest", "__id", "__text")
 
 
 def edited_fingerprints(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", chain: int = CHAIN) -> DataFrame:
@@ -174,7 +194,9 @@ def edited_fingerprints(df: DataFrame, text_col: str = "text", id_col: str = "do
 
     The edited text is the text with its last floor(n/2) code points replaced by the first as many
     (or all) of the next row's text, by descending id; after the last comes the first. Rows of equal
-    id are ordered by a hash of their text. Null texts count as empty.
+    id are ordered by a hash of their text. Ids of any type that can be ordered go by their own
+    order, null ids come last. Null texts count as empty; repeated rows are fingerprinted each;
+    further columns aren't read; an empty table gives an empty table. Rows of one id are in one range.
     """
     bound_batches(df.sparkSession)
     rows = with_next(df, text_col, id_col)
