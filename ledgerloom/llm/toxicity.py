@@ -16,14 +16,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WORD_BYTES, bound_batches, id_remainder, read_table
 
-# Bounds of the labelled sample and of the evidence kept.
+# Bound of the labelled sample.
 SAMPLE_DOCUMENTS = 6000
-MAX_EVIDENCE = 2000
 MIN_RATIO = 30.0  # likelihood ratio statistic; about 1 in 20 million by chance
 MIN_ODDS = 6.0
 PREFIXES = (3, 4, 5, 6, 7)
@@ -116,22 +115,24 @@ def fit_windows(signatures: np.ndarray, windows: np.ndarray, states: np.ndarray,
 
     signatures: rows of 0/1 features, row 0 none; windows: (n, length) signature numbers, -1 beyond
     the text; states: (n, length) 0/1; counts: how often each window occurs (once each if None).
-    Returns weights, bias, transition.
+    Only the ones of signatures are worked with. Returns weights, bias, transition.
     """
     n, length = windows.shape
+    row, column = signatures if isinstance(signatures, tuple) else np.nonzero(signatures)
+    rows = int(windows.max()) + 1 if isinstance(signatures, tuple) else len(signatures)
     counts = np.ones(n) if counts is None else np.asarray(counts, float)
     total, each = counts.sum(), np.repeat(counts[:, None], length, 1)
     real = windows >= 0
     index = np.maximum(windows, 0)
-    k = signatures.shape[1]
+    k = int(column.max()) + 1 if isinstance(signatures, tuple) else signatures.shape[1]
     theta = np.zeros(k + 5)
     theta[k] = -2.0
     first, second = np.zeros_like(theta), np.zeros_like(theta)
-    seen_state = np.bincount(index[real], weights=(states * each)[real], minlength=len(signatures))
+    seen_state = np.bincount(index[real], weights=(states * each)[real], minlength=rows)
     pair = real[:, 1:] & real[:, :-1]
     seen_pairs = np.bincount((states[:, :-1] * 2 + states[:, 1:])[pair], weights=each[:, 1:][pair], minlength=4)
     for t in range(1, rounds + 1):
-        emission = signatures @ theta[:k] + theta[k]
+        emission = np.bincount(row, weights=theta[column], minlength=rows) + theta[k]
         trans = np.exp(theta[k + 1 :]).reshape(2, 2)
         e = np.where(real, np.exp(np.clip(emission[index], -30, 30)), 1.0)
         pot = np.stack([np.ones_like(e), e], 2)
@@ -148,12 +149,12 @@ def fit_windows(signatures: np.ndarray, windows: np.ndarray, states: np.ndarray,
             beta[:, j] = b / b.sum(1, keepdims=True)
         both = alpha * beta
         p = both[:, :, 1] / both.sum(2)
-        expected = np.bincount(index[real], weights=(p * each)[real], minlength=len(signatures))
+        expected = np.bincount(index[real], weights=(p * each)[real], minlength=rows)
         joint = alpha[:, :-1, :, None] * trans[None, None] * (pot[:, 1:] * beta[:, 1:])[:, :, None, :]
         joint /= joint.sum((2, 3), keepdims=True)
         pairs = (joint * (pair * each[:, 1:])[:, :, None, None]).sum((0, 1)).ravel()
         delta = seen_state - expected
-        gradient = np.concatenate([signatures.T @ delta, [delta.sum()], seen_pairs - pairs]) / total
+        gradient = np.concatenate([np.bincount(column, weights=delta[row], minlength=k), [delta.sum()], seen_pairs - pairs]) / total
         gradient -= 1e-4 * theta
         first = 0.9 * first + 0.1 * gradient
         second = 0.99 * second + 0.01 * gradient**2
@@ -161,14 +162,13 @@ def fit_windows(signatures: np.ndarray, windows: np.ndarray, states: np.ndarray,
     return theta[:k], float(theta[k]), theta[k + 1 :].reshape(2, 2)
 
 
-def _ratio(a: float, b: float, n1: float, n0: float) -> float:
+def _ratio(a: Column, b: Column, n1: float, n0: float) -> Column:
     """Likelihood ratio statistic of a of n1 against b of n0."""
-    def part(x, n, p):
-        return (x * math.log(p) if x else 0.0) + ((n - x) * math.log(1 - p) if n > x else 0.0)
+
+    def part(x, n, p):  # the logarithm of 0 is null and is multiplied by 0
+        return F.coalesce(x * F.ln(p), F.lit(0.0)) + F.coalesce((n - x) * F.ln(1 - p), F.lit(0.0))
 
     p = (a + b) / (n1 + n0)
-    if p in (0.0, 1.0):
-        return 0.0
     return 2 * (part(a, n1, a / n1) + part(b, n0, b / n0) - part(a, n1, p) - part(b, n0, p))
 
 
@@ -179,11 +179,10 @@ def fit_toxicity(
     id_col: str = "doc_id",
     label_col: str = "toxic",
     sample: int = SAMPLE_DOCUMENTS,
-    max_evidence: int = MAX_EVIDENCE,
 ) -> ChainField:
     """Fit on about `sample` labelled documents, drawn by a hash of the id.
 
-    Null texts, ids and labels teach nothing. Without both classes the field knows no evidence and
+    All evidence of the sampled documents and all of its windows enter the fit. Null texts, ids and labels teach nothing. Without both classes the field knows no evidence and
     every text gets the share of toxic documents.
     """
     spark = documents.sparkSession
@@ -224,8 +223,8 @@ def fit_toxicity(
         return ChainField(base=float(n1 > 0))
     # Only what occurs in toxic documents in a share well above the other is of use.
     likely = counts.where(f"feature <> '' and a >= 5 and a * {float(n0)} >= {MIN_ODDS} * b * {float(n1)}")
-    ranked = sorted(((_ratio(r["a"], r["b"], n1, n0), r["feature"]) for r in likely.orderBy(F.desc("a")).limit(20 * max_evidence).collect()), reverse=True)
-    evidence = [f for ratio, f in ranked[:max_evidence] if ratio >= MIN_RATIO]
+    ranked = likely.withColumn("ratio", _ratio(F.col("a"), F.col("b"), float(n1), float(n0))).where(F.col("ratio") >= MIN_RATIO)
+    evidence = [r["feature"] for r in sorted(ranked.collect(), key=lambda r: (-r["ratio"], r["feature"]))]
     if not evidence:
         return ChainField(base=n1 / (n0 + n1))
     number = {f: i for i, f in enumerate(evidence)}
@@ -273,11 +272,10 @@ def fit_toxicity(
         index.append(row)
         states.append(state)
         counts_.append(r["count"])
-    table = np.zeros((len(signature), len(evidence)), np.float32)
-    for marks_, k in signature.items():
-        if marks_:
-            table[k, [int(x) for x in marks_.split(".")]] = 1
+    ones = [(k, int(x)) for marks_, k in signature.items() if marks_ for x in marks_.split(".")]
+    table = tuple(np.array(ones, np.int64).T)
     weights, bias, transition = fit_windows(table, np.array(index), np.array(states), counts=np.array(counts_))
+    weights = np.pad(weights, (0, len(evidence) - len(weights)))
     return ChainField({f: float(w) for f, w in zip(evidence, weights, strict=True)}, bias, transition, base)
 
 
