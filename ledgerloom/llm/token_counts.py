@@ -34,7 +34,7 @@ def token_counts(
     def lengths(batches):
         known = token_ids(tokenizer, ranks)
         for batch in batches:
-            counts = [len(known.ids(text)) >> 2 for text in batch.column(1).to_pylist()]
+            counts = known.lengths(batch.column(1).to_pylist())
             sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), sizes, pa.array(counts, pa.int64())], ["__id", "n_bytes", "n_tokens"]

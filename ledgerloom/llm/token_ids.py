@@ -33,13 +33,14 @@ class TokenIds:
     def __init__(self, path: str, ranks: str | None = None, piece: int = 1 << 18):
         self.piece = piece
         self.special: dict[str, bytes] = {}
-        self.fast = None
+        self.fast = self.fast_batch = None
         self.cut = False
         if path.endswith(".model"):
             import sentencepiece
 
             self.model = sentencepiece.SentencePieceProcessor(model_file=path)
             self.raw = lambda text: _packed(self.model.encode(text))
+            self.raw_batch = lambda texts: list(map(len, self.model.encode(texts, num_threads=1)))
             return
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -48,6 +49,7 @@ class TokenIds:
         self.model.no_truncation()
         self.model.no_padding()
         self.raw = lambda text: _packed(self.model.encode(text, add_special_tokens=False).ids)
+        self.raw_batch = lambda texts: list(map(len, self.model.encode_batch_fast(texts, add_special_tokens=False)))
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         before, added = spec.get("pre_tokenizer") or {}, spec.get("added_tokens") or []
@@ -62,7 +64,32 @@ class TokenIds:
         if self.cut:
             self.special = {t["content"]: _packed([t["id"]]) for t in added}
             if ranks and os.path.exists(ranks):
-                self.fast = _rank_encoder(ranks)
+                own = _rank_encoder(ranks)
+                self.fast = lambda text: _packed(own.encode_ordinary(text))
+                self.fast_batch = lambda texts: list(map(len, own.encode_ordinary_batch(texts, num_threads=1)))
+
+    def lengths(self, texts: list[str | None]) -> list[int]:
+        """Number of ids of every text, by one batch call of each encoder over the pieces of all texts."""
+        counts = [0] * len(texts)
+        fast: tuple[list[int], list[str]] = ([], [])
+        slow: tuple[list[int], list[str]] = ([], [])
+        for i, text in enumerate(texts):
+            parts = [text] if text else []
+            for mark in self.special if self.cut else ():
+                if mark in (text or ""):
+                    # A special string is one id; no piece of a text may reach across it.
+                    split = [part.split(mark) for part in parts]
+                    counts[i] += sum(len(x) - 1 for x in split)
+                    parts = [part for x in split for part in x if part]
+            for part in parts:
+                held = slow if self.fast is None or _RUN.search(part) else fast
+                for piece in self._pieces(part) if self.cut else (part,):
+                    held[0].append(i)
+                    held[1].append(piece)
+        for encode, (of, pieces) in ((self.fast_batch, fast), (self.raw_batch, slow)):
+            for i, n in zip(of, encode(pieces) if pieces else (), strict=True):
+                counts[i] += n
+        return counts
 
     def ids(self, text: str | None) -> bytes:
         if not text:
@@ -102,8 +129,7 @@ def _rank_encoder(path: str):
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    own = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: _packed(own.encode_ordinary(text))
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 @lru_cache(maxsize=4)
