@@ -175,16 +175,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
 def _across(open_: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Links between members of one bucket that the pivots left in different classes.
 
-    open_ has band, key, root, main (in the pivot's class), bands, marks, n. Members outside the
-    pivot's class are compared with all members, in blocks of bounded size, by their signatures and
-    then exactly, each pair in the first bucket that it shares. Of several links from a text to one
-    class one is enough.
+    open_ has band, key, root, main (in the pivot's class), bands, marks, n and n_left (not main).
+    Members outside the pivot's class are compared with all members, in blocks of bounded size, by
+    their signatures and then exactly, each pair in the first bucket that it shares. Of several links
+    from a text to one class one is enough. Members are copied once for each block of the other side:
+    where few are left, each of the many others goes to one block.
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    spread = lambda seed: F.pmod(F.xxhash64("key", F.lit(seed)), blocks).cast("int")
-    every = F.sequence(F.lit(0), blocks - 1)
-    left = open_.where("not main").select("*", F.lit(True).alias("left"), spread(1).alias("i"), F.explode(every).alias("j"))
-    right = open_.select("*", F.lit(False).alias("left"), spread(2).alias("j"), F.explode(every).alias("i"))
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    spread = lambda seed, n: F.pmod(F.xxhash64("key", F.lit(seed)), blocks(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    left = open_.where("not main").select("*", F.lit(True).alias("left"), spread(1, "n_left").alias("i"), every("n").alias("j"))
+    right = open_.select("*", F.lit(False).alias("left"), spread(2, "n").alias("j"), every("n_left").alias("i"))
     rows = left.unionByName(right).join(texts, "key").select("band", "i", "j", "left", "key", "root", "bands", "marks", "text")
 
     def compare(pdf):
@@ -262,11 +263,11 @@ def near_duplicate_classes(
     # Buckets of three and more whose members the pivots left in different classes.
     placed = buckets.where("n > 2").join(root, F.col("key") == F.col("node"), "left").drop("node")
     placed = placed.withColumn("root", F.coalesce("root", "key"))
-    mixed = placed.groupBy("band").agg(
-        F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by("root", "key").alias("pivot_root")
-    ).where("lo <> hi")
-    open_ = placed.join(mixed.select("band", "pivot_root"), "band").join(nodes.withColumnRenamed("__key", "key"), "key")
-    open_ = open_.select("band", "key", "root", (F.col("root") == F.col("pivot_root")).alias("main"), "bands", "marks", "n")
+    parts = placed.groupBy("band", "root").agg(F.count("*").alias("c"), F.min("key").alias("k"))
+    mixed = parts.groupBy("band").agg(F.count("*").alias("roots"), F.sum("c").alias("n"), F.min_by(F.struct("root", "c"), "k").alias("of"))
+    mixed = mixed.where("roots > 1").select("band", "n", F.col("of.root").alias("pivot_root"), (F.col("n") - F.col("of.c")).alias("n_left"))
+    open_ = placed.drop("n").join(mixed, "band").join(nodes.withColumnRenamed("__key", "key"), "key")
+    open_ = open_.select("band", "key", "root", (F.col("root") == F.col("pivot_root")).alias("main"), "bands", "marks", "n", "n_left")
     more = checkpointed(_across(open_, texts, threshold))
     if not more.isEmpty():
         root = connected(links.union(more))
