@@ -3,11 +3,12 @@
 Texts are lower-cased, everything but letters becomes one space, and n-grams of 1 to 3 characters are
 hashed into a fixed number of dimensions. Every language has several centroids, found by clustering
 its sampled vectors on the unit sphere. A text goes to the language of the centroid with the largest
-cosine; it is rejected where that cosine is below what training texts of its length reach.
+cosine; it is rejected where that cosine is far below what training texts of its length reach.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -23,11 +24,12 @@ CLUSTERS = 4
 # Bounds of the labelled sample: texts of one language, and of all.
 SAMPLE_PER_LANGUAGE = 400
 SAMPLE_TOTAL = 20_000
-# Below the lowest cosine that training texts of about this length reach, less SLACK: rejected. Texts of
-# under 2 ** SHORT n-grams hold too little for that; they are rejected only under SHORT_LEAST.
-SLACK = 0.25
-SHORT = 8
-SHORT_LEAST = 0.05
+# Rejected below this share of the cosine that all but one in a hundred training texts of about the
+# same length reach. Beginnings of training texts stand for the short ones.
+SHARE, ONE_IN = 0.55, 100
+# A length class of fewer training texts has no threshold of its own.
+ENOUGH = 20
+BEGINNINGS = tuple(4 << k for k in range(9))
 UNKNOWN = "und"
 
 _PIECE = 1 << 20
@@ -108,6 +110,10 @@ class CentroidModel:
         return langs, scores, rejected
 
 
+# Knows no language and answers `und`.
+NO_LANGUAGE = CentroidModel([], np.zeros(0, int), np.zeros((0, DIMENSIONS), np.float32), np.ones(DIMENSIONS, np.float32), np.zeros(32))
+
+
 def _length_class(grams: float) -> int:
     return min(31, int(np.log2(max(1.0, grams))))
 
@@ -151,7 +157,7 @@ def fit_centroids(
     ).where("__lang is not null and __text is not null")
     sizes = {r["__lang"]: r["count"] for r in rows.groupBy("__lang").count().collect()}
     if not sizes:
-        return CentroidModel([], np.zeros(0, int), np.zeros((0, DIMENSIONS), np.float32), np.ones(DIMENSIONS, np.float32), np.zeros(32))
+        return NO_LANGUAGE
     each = max(2 * clusters, min(per_language, total // len(sizes)))
     under = {lang: int(min(1.0, each / n) * (1 << 30)) for lang, n in sizes.items()}
     bound = F.lit(None).cast("long")
@@ -162,12 +168,17 @@ def fit_centroids(
         for batch in batches:
             langs, index, value = [], [], []
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if has_letter(text):
-                    counts = ngram_counts(text)
-                    at = np.flatnonzero(counts)
-                    langs.append(lang)
-                    index.append(at.astype("<u2").tobytes())
-                    value.append(counts[at].astype("<f4").tobytes())
+                if not has_letter(text):
+                    continue
+                fits = [n for n in BEGINNINGS if n < len(text)]
+                begin = text[: fits[zlib.crc32(text.encode("utf-8", "replace")) % len(fits)]] if fits else ""
+                for given, of in ((text, lang), (begin, None)):
+                    if has_letter(given):
+                        counts = ngram_counts(given)
+                        at = np.flatnonzero(counts)
+                        langs.append(of)
+                        index.append(at.astype("<u2").tobytes())
+                        value.append(counts[at].astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(langs, pa.string()), pa.array(index, pa.binary()), pa.array(value, pa.binary())],
                 ["lang", "index", "value"],
@@ -179,46 +190,70 @@ def fit_centroids(
         .mapInArrow(sparse, "lang string, index binary, value binary")
         .collect()
     )
-    sample.sort(key=lambda r: (r["lang"], bytes(r["index"]), bytes(r["value"])))
     counts = np.zeros((len(sample), DIMENSIONS), np.float32)
+    sample.sort(key=lambda r: (r["lang"] is None, r["lang"], bytes(r["index"]), bytes(r["value"])))
     for i, r in enumerate(sample):
         counts[i, np.frombuffer(r["index"], "<u2")] = np.frombuffer(r["value"], "<f4")
-    idf = (np.log((1 + len(sample)) / (1 + (counts > 0).sum(0))) + 1).astype(np.float32)
-    languages = sorted({r["lang"] for r in sample})
+    langs = [r["lang"] for r in sample if r["lang"] is not None]
+    if not langs:
+        return NO_LANGUAGE
+    return centroid_model(langs, counts[: len(langs)], clusters, counts[len(langs) :])
+
+
+def centroid_model(langs: list[str], counts: np.ndarray, clusters: int = CLUSTERS, beginnings: np.ndarray | None = None) -> CentroidModel:
+    """The model of labelled n-gram counts, one row a text; beginnings of texts help to set the least cosines."""
+    idf = (np.log((1 + len(langs)) / (1 + (counts > 0).sum(0))) + 1).astype(np.float32)
+    languages = sorted(set(langs))
     model = CentroidModel(languages, np.zeros(0, int), np.zeros((0, DIMENSIONS), np.float32), idf, np.zeros(32))
-    lengths = counts.sum(1)
     vectors = model.vectors(counts)
     parts, of = [], []
     for k, lang in enumerate(languages):
-        own = vectors[[i for i, r in enumerate(sample) if r["lang"] == lang]]
+        own = vectors[[i for i, x in enumerate(langs) if x == lang]]
         found = spherical_clusters(own, clusters)
         parts.append(found)
         of += [k] * len(found)
     model.centroids, model.of = np.concatenate(parts), np.array(of, int)
-    reached = (vectors @ model.centroids.T).max(1)
-    classes = np.array([_length_class(n) for n in lengths], int)
-    least, lowest = np.zeros(32), float("inf")
-    for k in range(31, -1, -1):  # shorter texts reach less: a class without texts takes the next longer one's
-        if (classes == k).any():
-            lowest = min(lowest, float(reached[classes == k].min()))
-        least[k] = max(0.0, (lowest if lowest < float("inf") else 0.0) - SLACK)
-    least[:SHORT] = SHORT_LEAST
-    model.least = least
+    every = counts if beginnings is None else np.concatenate([counts, beginnings])
+    reached = (model.vectors(every) @ model.centroids.T).max(1)
+    model.least = least_cosines(reached, every.sum(1))
     return model
 
 
+def least_cosines(reached: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """The least cosine of every length class, from the training texts of the class.
+
+    A class with too few texts takes the next shorter one's; those shorter than any that has enough
+    get half of what the shortest such class asks for. Without such a class all are judged alike.
+    """
+    classes = np.array([_length_class(n) for n in grams], int)
+    least = np.full(32, SHARE * np.sort(reached)[len(reached) // ONE_IN])
+    known = [k for k in range(32) if (classes == k).sum() >= ENOUGH]
+    for k in range(32):
+        shorter = [c for c in known if c <= k]
+        if known:
+            own = np.sort(reached[classes == (shorter[-1] if shorter else known[0])])
+            least[k] = SHARE * own[len(own) // ONE_IN] * (1.0 if shorter else 0.5)
+    return least
+
+
 def identify_language(
-    df: DataFrame, model: CentroidModel, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score"
+    df: DataFrame,
+    model: CentroidModel,
+    text_col: str = "text",
+    lang_out: str = "lang_pred",
+    score_out: str = "score",
+    rejected_out: str = "rejected",
 ) -> DataFrame:
     """All columns of df and the language, the cosine (0 to 1) and whether the text is rejected.
 
-    A text that is null or has no letter is `und`, score 0, rejected. Columns named like the results
-    are replaced. Repeated rows are judged each, empty tables give empty tables.
+    A text that is null or has no letter is `und`, score 0, rejected. The results' names are
+    parameters; columns of df that have such a name are replaced. Repeated rows are judged each,
+    texts whole however long; empty tables give empty tables.
     """
     bound_batches(df.sparkSession)
     held = df.sparkSession.sparkContext.broadcast(model)
-    base = df.drop(lang_out, score_out, "rejected")
-    schema = schema_with(base, **{lang_out: "string", score_out: "double", "rejected": "boolean"})
+    base = df.drop(lang_out, score_out, rejected_out)
+    schema = schema_with(base, **{lang_out: "string", score_out: "double", rejected_out: "boolean"})
     at = base.columns.index(text_col)
 
     def judge(batches):
