@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import checkpointed, read_table
 
 # Turns of one conversation that are ordered in one task; running sums are carried from block to block.
 BLOCK = 64
@@ -28,7 +28,9 @@ def render_turn(role: Column, text: Column) -> Column:
 
 
 def _turns(df: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
+    """Turns without nulls; __key is the conversation's id as a text that is never null, so that joins keep the dealing."""
     return df.select(
+        F.coalesce(F.concat(F.lit("="), F.col(conv_col).cast("string")), F.lit("")).alias("__key"),
         F.col(conv_col).alias("__conv"),
         F.coalesce(F.col(turn_col).cast("long"), F.lit(-(1 << 62))).alias("__turn"),
         F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("__role"),
@@ -36,54 +38,52 @@ def _turns(df: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col:
     )
 
 
+def _before(*columns: str) -> list[Column]:
+    """Sums of the columns over the earlier blocks of the conversation, named with a b in front."""
+    before = Window.partitionBy("__key").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    return [F.coalesce(F.sum(x).over(before), F.lit(0)).alias("b" + x) for x in columns]
+
+
 def prefix_hashes(turns: DataFrame) -> DataFrame:
-    """__conv, __n (turns so far), __total and the lanes of every prefix of every conversation.
+    """__key, __conv, __n (turns so far), __total and the lanes of every prefix of every conversation.
 
-    turns has __conv, __turn, __role, __text. Exact repeats of a turn count once; turns of one number
-    are ordered by role and a hash of the text.
+    turns has __key, __conv, __turn, __role, __text. Exact repeats of a turn count once; turns of one
+    number are ordered by role and a hash of the text. Turns are dealt by conversation and block once:
+    places and running sums inside blocks, and the blocks' totals, come from the same exchange.
     """
-    own = F.xxhash64("__role", "__text")
-    rows = turns.select("__conv", "__turn", own.alias("__own"), F.xxhash64("__text", "__role", F.lit(7)).alias("__own2"), F.floor(F.col("__turn") / BLOCK).alias("__block"))
-    block = Window.partitionBy("__conv", "__block")
+    rows = turns.select(
+        "__key", "__conv", "__turn", F.xxhash64("__role", "__text").alias("__own"), F.xxhash64("__text", "__role", F.lit(7)).alias("__own2"),
+        F.floor(F.col("__turn") / BLOCK).alias("__block"),
+    )
+    place = ["__key", "__block"]
+    block = Window.partitionBy(*place)
     inside = block.orderBy("__turn", "__own", "__own2")
     here = F.struct("__turn", "__own", "__own2")
     rows = rows.withColumn("__again", F.lag(here).over(inside).eqNullSafe(here)).where("not __again")
     rows = rows.withColumn("__at", F.row_number().over(inside))
-    before = Window.partitionBy("__conv").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("__conv")
-    counts = rows.groupBy("__conv", "__block").agg(F.count("*").alias("__c"))
-    counts = counts.select(
-        F.col("__conv").alias("__cv"),
-        F.col("__block").alias("__bl"),
-        F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__start"),
-        F.sum("__c").over(whole).alias("__total"),
-    )
-    same = F.col("__conv").eqNullSafe(F.col("__cv")) & (F.col("__block") == F.col("__bl"))
-    rows = rows.join(counts, same).withColumn("__n", F.col("__at") + F.col("__start")).drop("__cv", "__bl")
+    counts = rows.groupBy(*place).agg(F.count("*").alias("__c"))
+    counts = counts.select(*place, F.sum("__c").over(Window.partitionBy("__key")).alias("__total"), *_before("__c"))
+    rows = rows.join(counts, place).withColumn("__n", F.col("__at") + F.col("b__c"))
     lane = lambda seed: F.pmod(F.xxhash64(F.lit(seed), "__n", "__own", "__own2"), F.lit(1 << LANE_BITS))
     upto = block.orderBy("__n").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.select("__conv", "__block", "__n", "__total", *[F.sum(lane(i)).over(upto).alias(x) for i, x in enumerate(LANES)])
-    sums = rows.groupBy("__conv", "__block").agg(*[F.max(x).alias(x) for x in LANES])
-    sums = sums.select(
-        F.col("__conv").alias("__cv"),
-        F.col("__block").alias("__bl"),
-        *[F.coalesce(F.sum(x).over(before), F.lit(0)).alias(x + "b") for x in LANES],
-    )
-    return rows.join(sums, same).select("__conv", "__n", "__total", *[(F.col(x) + F.col(x + "b")).alias(x) for x in LANES])
+    rows = rows.select(*place, "__conv", "__n", "__total", *[F.sum(lane(i)).over(upto).alias(x) for i, x in enumerate(LANES)])
+    sums = rows.groupBy(*place).agg(*[F.max(x).alias(x) for x in LANES]).select(*place, *_before(*LANES))
+    return rows.join(sums, place).select("__key", "__conv", "__n", "__total", *[(F.col(x) + F.col("b" + x)).alias(x) for x in LANES])
 
 
 def maximal_conversations(
     df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text"
 ) -> DataFrame:
-    """__conv, n_turns and n_copies of every conversation that is no proper prefix of another.
+    """__key, n_turns and n_copies of every conversation that is no proper prefix of another.
 
     Of equal conversations the one of least id stays and n_copies tells their number.
     """
-    prefixes = prefix_hashes(_turns(df, conv_col, turn_col, role_col, text_col))
+    prefixes = checkpointed(prefix_hashes(_turns(df, conv_col, turn_col, role_col, text_col)))
     key = ["__n", *LANES]
-    full = prefixes.where("__n = __total").groupBy(*key).agg(F.min("__conv").alias("__conv"), F.count("*").alias("n_copies"))
-    longer = prefixes.where("__n < __total").groupBy(*key).agg(F.lit(1).alias("__one")).drop("__one")
-    return full.join(longer, key, "left_anti").select("__conv", F.col("__n").cast("long").alias("n_turns"), "n_copies")
+    least = F.min_by("__key", F.struct(F.col("__conv").isNull().alias("null"), F.col("__conv").alias("id")))
+    full = prefixes.where("__n = __total").groupBy(*key).agg(least.alias("__key"), F.count("*").alias("n_copies"))
+    longer = prefixes.where("__n < __total").select(*key).distinct()
+    return full.join(longer, key, "left_anti").select("__key", F.col("__n").cast("long").alias("n_turns"), "n_copies")
 
 
 def collapse_and_render(
@@ -92,17 +92,16 @@ def collapse_and_render(
     """One row per maximal conversation: its id, n_turns, n_copies and the rendered chat.
 
     Null roles and texts render as empty, a null turn comes first, rows of null conversation id are
-    one conversation; exact repeats of a turn are rendered once. Further columns aren't read and an
-    empty table gives an empty table. A conversation is one value, so its turns meet in one task, but
-    only those of one conversation.
+    one conversation; exact repeats of a turn are rendered once. Texts are rendered whole, however
+    long. Further columns aren't read and an empty table gives an empty table. A conversation is one
+    value, so its turns meet in one task, but only those of one conversation that stays.
     """
-    kept = maximal_conversations(df, conv_col, turn_col, role_col, text_col).withColumnRenamed("__conv", "__kept")
-    turns = _turns(df, conv_col, turn_col, role_col, text_col)
-    rows = turns.join(kept, F.col("__conv").eqNullSafe(F.col("__kept")))
+    kept = maximal_conversations(df, conv_col, turn_col, role_col, text_col)
+    rows = _turns(df, conv_col, turn_col, role_col, text_col).join(kept, "__key")
     ordered = F.array_sort(
         F.collect_set(F.struct("__turn", F.xxhash64("__role", "__text").alias("a"), F.xxhash64("__text", "__role", F.lit(7)).alias("b"), "__role", "__text"))
     )
-    grouped = rows.groupBy("__conv", "n_turns", "n_copies").agg(ordered.alias("__turns"))
+    grouped = rows.groupBy("__key", "n_turns", "n_copies").agg(F.min("__conv").alias("__conv"), ordered.alias("__turns"))
     chat = F.array_join(F.transform("__turns", lambda t: render_turn(t["__role"], t["__text"])), "")
     return grouped.select(F.col("__conv").alias(conv_col), "n_turns", "n_copies", chat.alias("rendered"))
 
