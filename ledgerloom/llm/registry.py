@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-# module -> query
+# module -> its first query
 QUERIES = {
     "pattern_packing": "op1_pattern_packing",
     "decontamination": "op10_decontamination",
@@ -21,9 +21,13 @@ QUERIES = {
     "token_counts": "op4_token_counts",
 }
 
+# The search half of the fingerprints.
+MORE = {"spot_near_duplicates": "spot_signatures"}
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: getattr(import_module(f"{__package__}.{module}"), name) for module, name in QUERIES.items()}
+    found |= {name: getattr(import_module(f"{__package__}.{module}"), name) for name, module in MORE.items()}
     return found | {"pipeline": import_module("corpus_pipeline").run}
 
 

@@ -246,3 +246,12 @@ def edited_fingerprints(df: DataFrame, text_col: str = "text", id_col: str = "do
 
 def op6_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(read_table(spark, sf_dir, "documents"))
+
+
+def spot_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class (equal fingerprints) of every document and to how many other classes it is near (0.8)."""
+    docs = read_table(spark, sf_dir, "documents")
+    pairs, members = spot_pairs(docs)
+    ends = pairs.select(F.explode(F.array("class_a", "class_b")).alias("class")).groupBy("class").agg(F.count("*").alias("n"))
+    found = members.join(ends, "class", "left")
+    return found.select("doc_id", F.col("class").alias("class_id"), F.coalesce("n", F.lit(0)).alias("n_links"))
