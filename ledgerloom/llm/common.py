@@ -38,7 +38,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bound_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small by bytes, so that very long texts don't add up in a worker.
 
-    Workers also get this library's folder on their path, for sessions started in another folder.
+    The two settings stay for the session, since plans run later than they are made. Workers also get
+    this library's folder on their path, for sessions started in another folder; machines without that
+    folder pass over it and have the library installed or sent with the job.
     """
     known = spark.sparkContext.environment
     if _ROOT not in known.get("PYTHONPATH", "").split(os.pathsep):
@@ -50,14 +52,17 @@ def bound_batches(spark: SparkSession) -> None:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and cut its lineage.
 
-    The folder is the one the cluster names in spark.checkpoint.dir. Only where that is unset (a
-    single-machine session, as in tests) a temporary folder is used.
+    The folder is the one the cluster names in spark.checkpoint.dir. Only on a single machine
+    (a local master, as in tests) a temporary folder stands in for it; elsewhere that is an error.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-")
-        )
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="spark-ckpt-")
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
