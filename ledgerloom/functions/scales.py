@@ -20,7 +20,7 @@ KIND_DOMAIN = {
     "cron": "serverless", "webhook": "serverless", "migration": "data", "role-gate": "appsec", "sink": "appsec",
     "workflow-job": "delivery", "container": "delivery",
 }
-# Points of one finding and the most a severity can take.
+# Fixed values too: points of one finding and the most a severity can take, bands, gates, weights, caps and the bases of kinds.
 SEVERITY_POINTS = {"critical": (25.0, 60.0), "high": (12.0, 40.0), "medium": (6.0, 25.0), "low": (2.0, 12.0), "info": (0.5, 5.0)}
 LOW_CONFIDENCE_WEIGHT = 0.5
 BANDS = (("A", 90), ("B", 75), ("C", 60), ("D", 40))
@@ -29,6 +29,8 @@ DOMAIN_WEIGHTS = {
     "appsec": 30.0, "data": 20.0, "dependencies": 15.0, "api": 12.0, "delivery": 8.0, "serverless": 8.0,
     "reliability": 5.0, "deadcode": 2.0,
 }
+# Penalties from which a run's confidence is low or medium.
+LOW_PENALTY, MEDIUM_PENALTY = 4, 1
 WORST_DOMAIN_HEADROOM = 15
 UNEXAMINED_EVIDENCE_CAP = 74
 KIND_BASE = {

@@ -84,6 +84,17 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planned checks of a run's domains and whether each ran."""
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("check"), F.col("o_custkey").alias("run"), _pick(DOMAINS, F.col("o_orderkey") % 8).alias("domain"), (F.col("o_orderpriority") != "5-LOW").alias("ran")
+    )
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("run"))
+
+
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     return rows.select(
@@ -165,6 +176,8 @@ SELECT o_orderkey AS unit_id, o_custkey AS run, [{_K}][o_custkey % 11 + 1] AS ki
        CAST(o_orderkey % 500 AS INTEGER) AS line, o_orderstatus AS status, o_totalprice AS price, o_orderpriority AS priority,
        c_mktsegment AS segment, o_orderdate AS at, CASE o_orderstatus WHEN 'F' THEN 'audited' WHEN 'O' THEN 'no-verdict' WHEN 'P' THEN 'inconclusive' END AS cause
 FROM orders JOIN customer ON o_custkey = c_custkey""",
+    "v_check": f"SELECT o_orderkey AS check_, o_custkey AS run, [{_D}][o_orderkey % 8 + 1] AS domain, o_orderpriority <> '5-LOW' AS ran FROM orders",
+    "v_run": "SELECT c_custkey AS run FROM customer",
     "v_step": f"""
 SELECT s_suppkey AS step, n_regionkey AS run, [{_D}][s_nationkey % 8 + 1] AS domain_a, [{_D}][(s_nationkey + 3) % 8 + 1] AS domain_b,
        CASE WHEN s_acctbal < 0 THEN 'failed' WHEN s_acctbal < 2500 THEN 'degraded' WHEN s_acctbal < 4000 THEN 'skipped' ELSE 'ok' END AS status,
