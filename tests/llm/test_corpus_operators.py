@@ -45,6 +45,13 @@ def test_token_ids_equal_the_library():
         text = "".join(pick.choices(parts, k=pick.randint(0, 16)))
         expected = known.raw(text) if text else b""
         assert known.ids(text) == expected and small.ids(text) == expected, text
+    texts = ["".join(pick.choices(parts, k=pick.randint(0, 16))) for _ in range(500)] + [None, "", " " * 90 + "a"]
+    expected = [len(known.raw(t)) // 4 if t else 0 for t in texts]
+    assert known.lengths(texts) == expected and small.lengths(texts) == expected and TokenIds(path).lengths(texts) == expected
+    import public_tokenizers
+
+    pieces = TokenIds(public_tokenizers.path("piece_bpe_32k.model"))
+    assert pieces.lengths(texts) == [len(pieces.ids(t)) // 4 for t in texts]
     assert known.ids(" " * 5000 + "a") == known.raw(" " * 5000 + "a")
 
 
@@ -105,7 +112,7 @@ def test_pack_lengths_holds_every_length():
         assert (held == counts).all()
 
 
-@pytest.mark.parametrize("limit", [decontamination.BROADCAST_BYTES, 0])
+@pytest.mark.parametrize("limit", [decontamination.BROADCAST_WORDS, 0])
 def test_contamination_equals_brute_force(spark, docs, odd, empty, limit):
     benchmark = spark.read.parquet(f"{SF}/benchmark.parquet").unionByName(
         spark.createDataFrame([(900, "plain words"), (901, None), (902, " ?! ")], "item_id long, text string")
@@ -126,13 +133,13 @@ def test_contamination_equals_brute_force(spark, docs, odd, empty, limit):
                         hit.update(range(i, i + n))
                         items |= found
             expected[(r.doc_id, len(words), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit))] += 1
-        got = decontamination.contamination(df, benchmark, broadcast_bytes=limit).collect()
+        got = decontamination.contamination(df, benchmark, broadcast_words=limit).collect()
         assert collections.Counter(tuple(r) for r in got) == expected
-        kept = decontamination.contamination(df, benchmark, broadcast_bytes=limit, keep=True)
+        kept = decontamination.contamination(df, benchmark, broadcast_words=limit, keep=True)
         assert kept.columns == [*df.columns, "__contaminated"]
         assert kept.where("__contaminated").count() == sum(n for k, n in expected.items() if k[-1])
-    assert decontamination.contamination(empty, benchmark, broadcast_bytes=limit).count() == 0
-    assert decontamination.contamination(docs, benchmark.limit(0), broadcast_bytes=limit).where("contaminated").count() == 0
+    assert decontamination.contamination(empty, benchmark, broadcast_words=limit).count() == 0
+    assert decontamination.contamination(docs, benchmark.limit(0), broadcast_words=limit).where("contaminated").count() == 0
 
 
 def near(seed, n=120, edits=4):
@@ -236,6 +243,23 @@ def test_spot_order_of_any_ids(spark, kind):
         assert got[k] == hashlib.sha256((text[: len(text) - half] + following[:half]).encode()).hexdigest()
 
 
+def test_spot_near_duplicates_of_all_documents(spark):
+    got = {r.doc_id: (r.class_id, r.n_links) for r in spot_signatures.spot_near_duplicates(spark, SF).collect()}
+    rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    sets = {r.doc_id: spot_signatures.signatures(r.text) for r in rows}
+    assert set(got) == set(sets)
+    classes = {}
+    for i, found in sets.items():
+        classes.setdefault(tuple(found), set()).add(i)
+    for members in classes.values():
+        assert len({got[i][0] for i in members}) == 1
+    keys = [k for k in classes if k]
+    arrays = [np.array(k, "<u4") for k in keys]
+    for k, own in zip(keys, arrays):
+        links = sum(1 for other in arrays if other is not own and spot_signatures.jaccard(own, other) >= 0.8)
+        assert all(got[i][1] == links for i in classes[k])
+
+
 def test_spot_pairs_equal_brute_force(spark):
     rows = [(i, "the " + t.replace(" ", " the ", 40)) for k in range(3) for i, t in enumerate(near(k, edits=3), 10 * k)]
     pairs, members = spot_signatures.spot_pairs(spark.createDataFrame(rows, SCHEMA))
@@ -261,6 +285,33 @@ def test_language(spark, odd, empty):
     assert {r.lang_pred for r in language_id.identify_language(odd, nothing).collect()} == {"und"}
 
 
+def test_language_rejects_what_it_does_not_know(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.fit_centroids(docs)
+    unknown = [
+        "Привет как дела это текст на русском языке который модель не знает совсем ",
+        "人人生而自由在尊严和权利上一律平等他们赋有理性和良心",
+        "W szczebrzeszynie chrząszcz brzmi w trzcinie i szczebrzeszyn z tego słynie ",
+        "xqzjv kwpfg zzxq jjkq vbnxz qwrtp lkjhg mnbvc ",
+    ]
+    texts = [(t * 100)[:n] for t in unknown for n in (12, 40, 150, 600, 4000)]
+    assert all(model.predict(texts)[2])
+    own = [r.text for r in docs.collect() if language_id.has_letter(r.text)]
+    assert np.mean(model.predict(own)[2]) < 0.002
+    assert np.mean(model.predict([t[:n] for t in own for n in (30, 100, 300) if len(t) > n and language_id.has_letter(t[:n])])[2]) < 0.02
+
+
+def test_language_equals_plain_cosines(spark, docs):
+    model = language_id.fit_centroids(docs)
+    for r in language_id.identify_language(docs.select("doc_id", "text"), model).limit(40).collect():
+        counts = language_id.ngram_counts(r.text)
+        plain = [float(np.log1p(c) * w) for c, w in zip(counts, model.idf)]
+        size = sum(x * x for x in plain) ** 0.5
+        if language_id.has_letter(r.text):
+            best = max((sum(x * y for x, y in zip(plain, row)) / size, model.languages[k]) for row, k in zip(model.centroids.tolist(), model.of))
+            assert abs(r.score - best[0]) < 1e-4 and r.lang_pred == best[1]
+
+
 def test_language_counts_whole_texts(monkeypatch):
     text = "Straße und Weg " * 50
     whole = language_id.ngram_counts(text)
@@ -538,3 +589,8 @@ def test_chat(spark):
     assert got[2][:2] == (3, 1) and got[4][:2] == (1, 2) and got[6][:2] == (1, 1) and got[9][0] == 300
     assert got[2][2] == "<|im_start|>user\na<|im_end|>\n<|im_start|>bot\nb<|im_end|>\n<|im_start|>user\nc<|im_end|>\n"
     assert chat_snapshots.collapse_and_render(df.limit(0)).count() == 0
+    long = spark.createDataFrame([(1, 0, "user", LONG), (1, 1, "bot", "b"), (2, 0, "user", LONG)], "conv_id long, turn long, role string, text string")
+    got = chat_snapshots.collapse_and_render(long).collect()
+    assert [(r.conv_id, r.n_turns, len(r.rendered)) for r in got] == [(1, 2, len(LONG) + len("<|im_start|>user\n<|im_end|>\n<|im_start|>bot\nb<|im_end|>\n"))]
+    text_ids = df.withColumn("conv_id", F.concat(F.lit("c"), F.col("conv_id").cast("string")))
+    assert {r.conv_id for r in chat_snapshots.collapse_and_render(text_ids).collect()} == {"c2", "c4", "c6", "c7", None, "c8", "c9"}
