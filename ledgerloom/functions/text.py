@@ -18,7 +18,7 @@ def entropy(text: Column) -> Column:
 
 def split_words(name: Column) -> Column:
     """Words of a camel- or snake-case name, in lower case."""
-    spaced = F.regexp_replace(F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1 $2"), "[^A-Za-z0-9]+", " ")
+    spaced = F.regexp_replace(F.regexp_replace(F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2"), "[^A-Za-z0-9]+", " ")
     return F.filter(F.split(F.lower(F.trim(spaced)), " +"), lambda w: w != "")
 
 
@@ -26,45 +26,42 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
+_VERSION = r"^v?(\d+)(?:\.(\d+))?(?:\.(\d+))?(?:-([0-9A-Za-z.-]+))?(?:\+[0-9A-Za-z.-]+)?$"
+
+
 def version(text: Column) -> Column:
-    """Struct of major, minor, patch and pre-release; null if there is no number."""
-    part = lambda i: F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(text, r"^[^0-9]*(\d+)(?:\.(\d+))?(?:\.(\d+))?", i), F.lit("")), F.lit("999999999")).cast("int"), F.lit(0))
-    pre = F.regexp_extract(text, r"-([0-9A-Za-z.-]+)", 1)
-    return F.when(text.rlike("[0-9]"), F.struct(part(1).alias("major"), part(2).alias("minor"), part(3).alias("patch"), pre.alias("pre")))
+    """Struct that orders like the version: major, minor, patch, whether released, pre-release; null if it can't be read."""
+    plain = F.trim(text)
+    number = lambda i: F.coalesce(F.nullif(F.regexp_extract(plain, _VERSION, i), F.lit("")), F.lit("0")).try_cast("long")
+    pre = F.regexp_extract(plain, _VERSION, 4)
+    read = F.struct(number(1).alias("major"), number(2).alias("minor"), number(3).alias("patch"), (pre == "").alias("released"), pre.alias("pre"))
+    return F.when(plain.rlike(_VERSION), read)
 
 
 def version_gap(have: Column, latest: Column) -> Column:
+    """none, patch, minor or major; null where either can't be read, none where the installed one is as new."""
     a, b = version(have), version(latest)
     return (
-        F.when(a["major"] != b["major"], F.lit("major"))
+        F.when(a.isNull() | b.isNull(), None)
+        .when(b <= a, F.lit("none"))
+        .when(a["major"] != b["major"], F.lit("major"))
         .when(a["minor"] != b["minor"], F.lit("minor"))
-        .when(a["patch"] != b["patch"], F.lit("patch"))
-        .otherwise(F.lit("none"))
+        .otherwise(F.lit("patch"))
     )
 
 
-def sql_verb(statement: Column) -> Column:
-    head = F.upper(F.regexp_extract(statement, r"^\s*(\w+)", 1))
-    return F.when(head.isin("SELECT", "WITH"), "select").when(head == "INSERT", "insert").when(head == "UPDATE", "update").when(head == "DELETE", "delete").otherwise("raw")
-
-
-def sql_operation(statement: Column) -> Column:
-    """Operation of a DDL statement; order matters, the first that matches wins."""
-    up = F.upper(F.regexp_replace(statement, r"\s+", " "))
-    return (
-        F.when(up.rlike("DROP TABLE"), "drop-table").when(up.rlike("DROP COLUMN"), "drop-column").when(up.rlike("ALTER COLUMN .* TYPE"), "alter-type")
-        .when(up.rlike("ADD COLUMN .* NOT NULL"), "add-not-null").when(up.rlike("ADD COLUMN"), "add-column").when(up.rlike("CREATE (UNIQUE )?INDEX CONCURRENTLY"), "index-concurrently")
-        .when(up.rlike("CREATE (UNIQUE )?INDEX"), "index").when(up.rlike("CREATE TABLE"), "create-table").when(up.rlike("^ ?(UPDATE|DELETE|INSERT)"), "data").otherwise("other")
-    )
+def range_floor(declared: Column) -> Column:
+    """The lower bound of a declared range: of its first branch's first comparator, also behind an alias."""
+    first = F.trim(F.split(declared, r"\|\|")[0])
+    body = F.split(F.trim(F.regexp_replace(first, r"^npm:(?:@[^/]+/)?[^@]+@", "")), r"\s+")[0]
+    bare = F.regexp_replace(F.regexp_replace(body, r"^(?:[\^~]|>=?|=)?\s*", ""), r"\.[xX*]", ".0")
+    return F.when(~((body == "") | (body == "*") | body.startswith("<")), version(bare))
 
 
-def lock_risk(operation: Column) -> Column:
-    return F.when(operation.isin("drop-table", "drop-column", "alter-type", "add-not-null"), "high").when(operation == "index", "medium").when(operation.isin("add-column", "create-table"), "low").otherwise("none")
-
-
-def where_columns(statement: Column) -> Column:
-    clause = F.regexp_extract(statement, r"(?i)\bwhere\b(.*)$", 1)
-    return F.array_distinct(F.transform(F.regexp_extract_all(clause, F.lit(r"([A-Za-z_][A-Za-z0-9_.]*)\s*(?:=|<|>|\bin\b|\blike\b)"), 1), F.lower))
+def bare_identifier(raw: Column) -> Column:
+    """A name without schema and quotes."""
+    last = F.element_at(F.split(F.regexp_replace(F.trim(raw), "[;,]$", ""), r"\."), -1)
+    return F.regexp_replace(last, r"""^["'`\[]+|["'`\]]+$""", "")
 
 
 def glob_to_regex(pattern: str) -> str:
@@ -80,19 +77,21 @@ def path_parameters(path: Column) -> Column:
 
 
 def route_of_file(path: Column) -> Column:
-    """Route of an app or pages style file path: groups vanish, [name] becomes :name."""
-    body = F.regexp_replace(F.regexp_replace(path, r"^(?:src/)?(?:app|pages)/", ""), r"(?:/?(?:page|route|index))?\.[jt]sx?$", "")
-    parts = F.filter(F.split(body, "/"), lambda p: (p != "") & ~p.rlike(r"^\(.*\)$"))
-    return F.concat(F.lit("/"), F.array_join(F.transform(parts, lambda p: F.regexp_replace(p, r"^\[(?:\.\.\.)?(\w+)\]$", ":$1")), "/"))
+    """Request path of a file by the app or pages convention, null for other files; groups and slots vanish, parameters stay as written."""
+    app, pages = r"^(?:.*/)?app/(?!.*(?:^|/)pages/)(.*/)?[^/]*$", r"^(?:.*/)?pages/(.*)$"
+    parts = F.filter(F.split(F.regexp_extract(path, app, 1), "/"), lambda p: (p != "") & ~p.rlike(r"^\(.*\)$") & ~p.startswith("@"))
+    page = F.regexp_replace(F.regexp_replace(F.regexp_extract(path, pages, 1), r"\.[cm]?[jt]sx?$", ""), r"(^|/)index$", "")
+    in_app = path.rlike(r"(?:^|/)app/(?!.*(?:^|/)pages/)")
+    served = F.when(in_app, path.rlike(r"(?:^|/)(?:route|page)\.[cm]?[jt]sx?$")).otherwise(path.rlike(pages) & path.rlike(r"\.[cm]?[jt]sx?$"))
+    return F.when(served, F.concat(F.lit("/"), F.when(in_app, F.array_join(parts, "/")).otherwise(page)))
 
 
 def shortened(text: Column, width: int) -> Column:
     return F.when(F.char_length(text) > width, F.concat(F.substring(text, 1, width - 1), F.lit("…"))).otherwise(text)
 
 
-def masked_tail(text: Column, lead: int = 4) -> Column:
-    return F.concat(F.substring(text, 1, lead), F.repeat(F.lit("*"), F.greatest(F.char_length(text) - lead, F.lit(0))))
-
-
 def duration_text(seconds: Column) -> Column:
-    return F.when(seconds < 60, F.concat(seconds.cast("string"), F.lit(" s"))).when(seconds < 3600, F.concat(F.floor(seconds / 60).cast("string"), F.lit(" min"))).otherwise(F.concat(F.floor(seconds / 3600).cast("string"), F.lit(" h")))
+    """+40s, +2m, +2m 30s."""
+    minutes, rest = F.floor(seconds / 60), seconds % 60
+    tail = F.when(rest > 0, F.concat(F.lit(" "), rest, F.lit("s"))).otherwise("")
+    return F.when(seconds < 60, F.concat(F.lit("+"), seconds, F.lit("s"))).otherwise(F.concat(F.lit("+"), minutes, F.lit("m"), tail))

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scales import DOMAINS, SEVERITIES, UNIT_KINDS, label_of
-from ledgerloom.functions.text import version
 from ledgerloom.sources.views import batches, edges, findings, lines, spans, steps, table, units, with_views
 
 FACT_EVIDENCE = 25
@@ -87,23 +86,6 @@ def proposal_cost(rows: DataFrame) -> DataFrame:
     return n.groupBy("run").agg(F.sum(seconds).alias("seconds"), F.bool_or(F.col("kind").isin("route", "sink")).alias("uses_model"))
 
 
-def normal_attributes(rows: DataFrame) -> DataFrame:
-    """Attributes with sorted keys, single spaces, at most 200 characters and no blanks."""
-    raw = F.create_map(F.lit("status"), F.col("status"), F.lit("segment"), F.concat(F.lit("  a  "), F.lower("segment"), F.lit("\n b ")), F.lit("blank"), F.lit("   "))
-    clean = F.transform_values(raw, lambda _, v: F.substring(F.trim(F.regexp_replace(v, r"\s+", " ")), 1, 200))
-    entries = F.array_sort(F.map_entries(F.map_filter(clean, lambda _, v: v != "")))
-    return rows.select("unit_id", F.array_join(F.transform(entries, lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("attributes"))
-
-
-def applicable_fix(rows: DataFrame) -> DataFrame:
-    """The least listed version above the installed one, else the newest."""
-    listed = F.array(*[F.concat_ws(".", F.greatest(F.col("p_size") + d, F.lit(0)).cast("string"), F.lit(m)) for d, m in ((3, "0"), (-2, "9"), (1, "4"))])
-    have = version(F.concat_ws(".", F.col("p_size").cast("string"), (F.col("p_partkey") % 9).cast("string")))
-    ordered = F.array_sort(F.transform(listed, lambda v: F.struct(version(v).alias("v"), v.alias("t"))))
-    above = F.filter(ordered, lambda x: x["v"] > have)
-    return rows.select("p_partkey", F.coalesce(F.get(above, F.lit(0))["t"], F.element_at(ordered, -1)["t"]).alias("fix"))
-
-
 def issue_titles(rows: DataFrame) -> DataFrame:
     labels = F.array_join(F.array(F.col("severity"), F.concat(F.lit("domain:"), F.col("domain"))), ",")
     return rows.select("id", "title", F.concat(F.lit("["), F.upper("severity"), F.lit("] "), F.col("rule"), F.lit(" in "), F.col("file")).alias("issue"), labels.alias("labels"))
@@ -126,17 +108,6 @@ def strays(verdicts: DataFrame, members: DataFrame) -> DataFrame:
     return verdicts.join(members, "unit_id", "left_anti").groupBy("run").agg(F.count("*").alias("strays"))
 
 
-def overlap_suppressed(rows: DataFrame) -> DataFrame:
-    """Findings of a generic rule go where an owner rule has the line, or both are single in the file."""
-    by = Window.partitionBy("run", "file", "rule")
-    rows = rows.withColumn("single", F.count("*").over(by) == 1)
-    owner = rows.where("rule like '%.rule-1'").select("run", "file", F.col("domain").alias("od"), F.col("line").alias("ol"), F.col("single").alias("os"))
-    covered = (rows["run"] == owner["run"]) & (rows["file"] == owner["file"]) & (rows["domain"] == owner["od"]) & ((rows["line"] == owner["ol"]) | (rows["single"] & owner["os"]))
-    generic = rows.where("rule like '%.rule-2'")
-    gone = generic.join(owner, covered, "left_semi").select("run", "file", "rule", "line", "id", "title").distinct()
-    return rows.select("run", "file", "rule", "line", "id", "title").join(gone, ["run", "file", "rule", "line", "id", "title"], "left_anti").groupBy("run").agg(F.count("*").alias("kept"))
-
-
 def router_prefixes(spark, edges_: DataFrame, depth: int = 8) -> DataFrame:
     """Path prefix of each router from its chain of parents, at most eight deep."""
     edges_.createOrReplaceTempView("__routers")
@@ -203,15 +174,6 @@ def owner_checks(rows: DataFrame) -> DataFrame:
     return rows.withColumn("n", F.row_number().over(order)).where("n = 1").select("kind", "segment", "unit_id")
 
 
-def scope_decision(rows: DataFrame) -> DataFrame:
-    """Flag over config over default for every proposal."""
-    flag = F.when(F.col("p_partkey") % 11 == 0, "off")
-    config = F.when(F.col("p_partkey") % 7 == 0, "on")
-    default = F.when(F.col("p_size") < 30, "on").otherwise("off")
-    source = F.when(flag.isNotNull(), "flag").when(config.isNotNull(), "config").otherwise("default")
-    return rows.select("p_partkey", F.coalesce(flag, config, default).alias("outcome"), source.alias("source"))
-
-
 def facts_of(s, d) -> DataFrame:
     return findings(s, d).select(F.col("domain").alias("kind"), F.col("source").alias("value"), F.col("file").alias("evidence"), F.col("title").alias("detail"), "conf", F.concat_ws("/", "title", F.lpad(F.col("line").cast("string"), 2, "0")).alias("seq"))
 
@@ -231,13 +193,10 @@ QUERIES = {
     "agg41_license_rollup": lambda s, d: license_rollup(table(s, d, "part"), "p_size % 5 = 0"),
     "agg45_suppressions": lambda s, d: suppression_summary(units(s, d)),
     "agg46_proposal_cost": lambda s, d: proposal_cost(units(s, d)),
-    "prj06_attributes": lambda s, d: normal_attributes(units(s, d)),
-    "prj27_applicable_fix": lambda s, d: applicable_fix(table(s, d, "part")),
     "prj47_issue_titles": lambda s, d: issue_titles(findings(s, d)),
     "prj51_verdict_clamp": lambda s, d: clamped_verdicts(findings(s, d)),
     "flt06_slice_gate": _cited,
     "join08_strays": lambda s, d: strays(units(s, d), units(s, d).where("unit_id % 4 <> 0").select("unit_id")),
-    "join10_overlap_suppression": lambda s, d: overlap_suppressed(findings(s, d)),
     "join17_router_prefixes": lambda s, d: router_prefixes(s, edges(s, d)),
     "join21_unlocked": lambda s, d: unlocked(table(s, d, "part").select("p_partkey"), table(s, d, "lineitem").select(F.col("l_partkey").alias("p_partkey")).where("p_partkey % 3 <> 0").distinct()),
     "join23_unindexed": lambda s, d: unindexed(units(s, d), "status = 'F' and line % 7 = 0"),
@@ -247,12 +206,10 @@ QUERIES = {
     "exe11_stop_reason": lambda s, d: stop_reason(batches(s, d)),
     "set10_missing_domains": lambda s, d: missing_domains(findings(s, d)),
     "rul15_check_owners": lambda s, d: owner_checks(units(s, d)),
-    "rul17_scope_decision": lambda s, d: scope_decision(table(s, d, "part")),
     "agg20_units_by_kind": lambda s, d: s.createDataFrame([(k, i) for i, k in enumerate(UNIT_KINDS)], "kind string, place int").join(units(s, d).groupBy("kind").agg(F.count("*").alias("n")), "kind", "left").na.fill(0, ["n"]),
 }
 _FACT = "SELECT domain AS kind, source AS value, file AS evidence, title AS detail, conf, title || '/' || lpad(CAST(line AS VARCHAR), 2, '0') AS seq FROM v_finding"
 _LAB = "['critical', 'high', 'medium', 'low', 'info'][{} + 1]"
-_OWN = "SELECT run, file, domain, rule, line, id, title, count(*) OVER (PARTITION BY run, file, rule) = 1 AS single FROM v_finding"
 _DL = ", ".join(f"'{x}'" for x in DOMAINS)
 ORACLES = {
     "agg18_merged_facts": with_views("SELECT kind, value, c AS conf, detail, list_aggregate(list_slice(list_transform(list_sort(e), lambda x: x.evidence), 1, 25), 'string_agg', ',') AS evidence FROM (SELECT kind, value, min(mc) AS c, arg_min(md, first_) AS detail, list({'seq': first_, 'evidence': evidence}) AS e FROM (SELECT kind, value, evidence, min(seq) AS first_, min(conf) AS mc, arg_min(detail, seq) AS md FROM f GROUP BY ALL) GROUP BY kind, value)", "v_finding", f=_FACT),
@@ -264,13 +221,10 @@ ORACLES = {
     "agg41_license_rollup": "SELECT p_brand, count(*) AS n, list_aggregate(list_slice(list_sort(list(DISTINCT p_name)), 1, 3), 'string_agg', ',') AS listed FROM part WHERE p_size % 5 = 0 GROUP BY p_brand",
     "agg45_suppressions": with_views("SELECT kind, string_agg(n || ' ' || cause, '; ' ORDER BY cause) AS summary FROM (SELECT kind, cause, count(*) AS n FROM v_unit WHERE cause <> 'audited' GROUP BY ALL) GROUP BY kind", "v_unit"),
     "agg46_proposal_cost": with_views("SELECT run, CAST(sum(least(900, greatest(60, n * 10))) AS BIGINT) AS seconds, bool_or(kind IN ('route', 'sink')) AS uses_model FROM (SELECT run, kind, count(*) AS n FROM v_unit GROUP BY ALL) GROUP BY run", "v_unit"),
-    "prj06_attributes": with_views("SELECT unit_id, 'segment=a ' || lower(segment) || ' b;status=' || status AS attributes FROM v_unit", "v_unit"),
-    "prj27_applicable_fix": "SELECT p_partkey, (p_size + 1) || '.4' AS fix FROM part",
     "prj47_issue_titles": with_views("SELECT id, title, '[' || upper(severity) || '] ' || rule || ' in ' || file AS issue, severity || ',domain:' || domain AS labels FROM v_finding", "v_finding"),
     "prj51_verdict_clamp": with_views(f"SELECT id, title, {_LAB.format('greatest(sev, CASE WHEN domain IN (' + chr(39) + 'appsec' + chr(39) + ', ' + chr(39) + 'data' + chr(39) + ') THEN 0 WHEN domain = ' + chr(39) + 'api' + chr(39) + ' THEN 1 WHEN domain = ' + chr(39) + 'serverless' + chr(39) + ' THEN 2 ELSE 3 END)')} AS severity, substr(title, 1, 8) AS short FROM v_finding", "v_finding"),
     "flt06_slice_gate": with_views("SELECT i.file, i.span, max(least(i.stop, h.stop)) AS \"end\" FROM v_span i JOIN v_span h ON i.file = h.file AND i.inner_ AND NOT h.inner_ AND i.start BETWEEN h.start AND h.stop GROUP BY ALL", "v_span"),
     "join08_strays": with_views("SELECT run, count(*) AS strays FROM v_unit WHERE unit_id % 4 = 0 GROUP BY run", "v_unit"),
-    "join10_overlap_suppression": with_views("SELECT run, count(*) AS kept FROM o g WHERE NOT (rule LIKE '%.rule-2' AND EXISTS (SELECT 1 FROM o w WHERE w.rule LIKE '%.rule-1' AND w.run = g.run AND w.file = g.file AND w.domain = g.domain AND (w.line = g.line OR (w.single AND g.single)))) GROUP BY run", "v_finding", o=_OWN),
     "join17_router_prefixes": with_views("SELECT child, arg_max(prefix, depth) AS prefix FROM up GROUP BY child", "v_edge", recursive=True, **{"up(child, node, depth, prefix)": "SELECT child, parent, 1, '/' || CAST(child AS VARCHAR) FROM v_edge UNION ALL SELECT u.child, e.parent, u.depth + 1, '/' || CAST(e.child AS VARCHAR) || u.prefix FROM up u JOIN v_edge e ON e.child = u.node WHERE u.depth < 8"}),
     "join21_unlocked": "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_partkey % 3 <> 0)",
     "join23_unindexed": with_views("SELECT tab, count(*) AS columns FROM (SELECT DISTINCT file AS tab, segment AS col FROM v_unit EXCEPT SELECT file, segment FROM v_unit WHERE status = 'F' AND line % 7 = 0) GROUP BY tab", "v_unit"),
@@ -280,6 +234,5 @@ ORACLES = {
     "exe11_stop_reason": with_views("SELECT run, CASE WHEN bool_or(status = 'failed' AND duration > 450) THEN 'cancelled' WHEN count(*) FILTER (status = 'partial') > 12 THEN 'quota' WHEN sum(duration) > 4e7 THEN 'clock' ELSE 'planned' END AS reason FROM v_batch GROUP BY run", "v_batch"),
     "set10_missing_domains": with_views(f"SELECT run, domain FROM (SELECT DISTINCT run FROM v_finding), (SELECT unnest([{_DL}]) AS domain) EXCEPT SELECT run, domain FROM v_finding", "v_finding"),
     "rul15_check_owners": with_views("SELECT kind, segment, min(unit_id) AS unit_id FROM v_unit GROUP BY ALL", "v_unit"),
-    "rul17_scope_decision": "SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN 'off' WHEN p_partkey % 7 = 0 THEN 'on' WHEN p_size < 30 THEN 'on' ELSE 'off' END AS outcome, CASE WHEN p_partkey % 11 = 0 THEN 'flag' WHEN p_partkey % 7 = 0 THEN 'config' ELSE 'default' END AS source FROM part",
     "agg20_units_by_kind": with_views("SELECT kind, CAST(place AS INTEGER) AS place, coalesce(n, 0) AS n FROM (SELECT unnest([" + ", ".join(f"'{k}'" for k in UNIT_KINDS) + "]) AS kind, unnest(range(11)) AS place) LEFT JOIN (SELECT kind, count(*) AS n FROM v_unit GROUP BY kind) USING (kind)", "v_unit"),
 }

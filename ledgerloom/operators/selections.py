@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scales import UNIT_KINDS, rank_of
-from ledgerloom.functions.text import glob_to_regex, version
+from ledgerloom.functions.text import glob_to_regex
 from ledgerloom.operators.normalise import volume_examples, volume_groups
 from ledgerloom.sources.views import batches, findings, lines, table, units, with_int, with_views
 
@@ -54,20 +54,6 @@ def units_of_batches(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return each.join(wanted, "batch", "left_semi").select("run", "unit").distinct()
 
 
-def resolved_imports(rows: DataFrame) -> DataFrame:
-    """The first candidate that exists of an import's forms: as is, doubled, or the next one."""
-    candidates = F.posexplode(F.array(F.col("p_partkey") * 3, F.col("p_partkey") * 2, F.col("p_partkey") + 1)).alias("place", "target")
-    each = rows.select("p_partkey", candidates).join(rows.select(F.col("p_partkey").alias("target")), "target")
-    return each.groupBy("p_partkey").agg(F.min_by("target", "place").alias("target"))
-
-
-def overrides_below(rows: DataFrame) -> DataFrame:
-    """Overrides whose version lies below the declared lower bound."""
-    declared = F.concat(F.lit("^"), (F.col("p_size") % 10).cast("string"), F.lit("."), (F.col("p_partkey") % 5).cast("string"), F.lit(".0"))
-    override = F.concat_ws(".", (F.col("p_partkey") % 10).cast("string"), (F.col("p_size") % 5).cast("string"), F.lit("1"))
-    return rows.select("p_partkey", declared.alias("declared"), override.alias("override")).where(version(override) < version(declared))
-
-
 def fact_topics(rows: DataFrame, topics: list[str]) -> DataFrame:
     """Facts of the wanted topics: equal to the kind, its first or its last dotted part."""
     kind = F.regexp_replace(F.lower("p_type"), " ", ".")
@@ -76,45 +62,11 @@ def fact_topics(rows: DataFrame, topics: list[str]) -> DataFrame:
     return rows.select("p_partkey", kind.alias("kind")).where(F.array_contains(want, kind) | F.array_contains(want, parts[0]) | F.array_contains(want, F.element_at(parts, -1)))
 
 
-def principal_scope(rows: DataFrame) -> DataFrame:
-    """Whether a query's filter columns bind the caller: yes, scoped (a tenant column) or no."""
-    cols = F.array(F.when(F.col("unit_id") % 3 == 0, "owner_id").otherwise("name"), F.when(F.col("unit_id") % 4 == 0, "tenant_id").otherwise("age"))
-    yes = F.exists(cols, lambda c: c.rlike("^(user|owner|account)_?id$"))
-    scoped = F.exists(cols, lambda c: c.rlike("^(tenant|org|team)_?id$"))
-    return rows.select("unit_id", F.when(yes, "yes").when(scoped, "scoped").otherwise("no").alias("principal"))
-
-
-def action_references(rows: DataFrame) -> DataFrame:
-    """Owner, repository and reference of an action, and how firmly it is pinned."""
-    ref = F.when(F.col("p_partkey") % 3 == 0, F.substring(F.sha2(F.col("p_partkey").cast("string"), 256), 1, 40)).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("v"), F.col("p_size").cast("string"))).otherwise("main")
-    uses = F.concat(F.lit("org"), (F.col("p_partkey") % 7).cast("string"), F.lit("/tool/sub@"), ref)
-    got = rows.select("p_partkey", uses.alias("uses"))
-    at = F.regexp_extract("uses", "@(.+)$", 1)
-    pin = F.when(at.rlike("^[0-9a-f]{40}$"), "sha").when(at.rlike("^v?[0-9]+"), "tag").otherwise("branch")
-    return got.select("p_partkey", F.regexp_extract("uses", "^([^/@]+)/", 1).alias("owner"), F.regexp_extract("uses", "^[^/@]+/([^/@]+)", 1).alias("repository"), pin.alias("pin"))
-
-
-def image_tags(rows: DataFrame) -> DataFrame:
-    tag = F.when(F.col("p_size") % 4 == 0, "").when(F.col("p_size") % 4 == 1, ":latest").when(F.col("p_size") % 4 == 2, ":20").otherwise(":20.11.1-slim")
-    image = F.concat(F.lit("node"), tag)
-    t = F.regexp_extract(image, ":(.+)$", 1)
-    level = F.when((t == "") | (t == "latest"), "floating").when(t.rlike(r"^[0-9]+\.[0-9]+\.[0-9]+"), "exact").otherwise("partial")
-    return rows.select("p_partkey", image.alias("image"), level.alias("precision"))
-
-
 def unit_order(rows: DataFrame) -> DataFrame:
     order = Window.partitionBy("run").orderBy(rank_of(F.col("kind"), UNIT_KINDS), "file", "line", "unit_id")
     return rows.select("run", "unit_id", F.row_number().over(order).alias("place"))
 
 
-def env_substituted(rows: DataFrame) -> DataFrame:
-    """`${{ env.X }}` in a text replaced by the value of X; unknown names stay."""
-    text = F.concat(F.lit("run ${{ env.SEG }} for ${{env.KIND}} and ${{ env.NONE }} at "), F.col("file"))
-    env = F.map_entries(F.create_map(F.lit("SEG"), F.col("segment"), F.lit("KIND"), F.col("kind")))
-    step = lambda acc, e: F.replace(F.replace(acc, F.concat(F.lit("${{ env."), e["key"], F.lit(" }}")), e["value"]), F.concat(F.lit("${{env."), e["key"], F.lit("}}")), e["value"])
-    return rows.select("unit_id", F.aggregate(env, text, step).alias("text"))
-
-
 _SCOPE = ["src/1", "src/2*", "src/77"]
 QUERIES = {
     "flt01_scope": lambda s, d: in_scope(units(s, d), _SCOPE).groupBy("file", "in_scope").agg(F.count("*").alias("n")),
@@ -124,14 +76,8 @@ QUERIES = {
     "set02_ordered_union": lambda s, d: ordered_union(table(s, d, "part")),
     "set05_without_agent": lambda s, d: without_agent(findings(s, d)),
     "set09_units_of_batches": lambda s, d: units_of_batches(batches(s, d), batches(s, d).where("status = 'failed'").select("batch")),
-    "join18_resolved_imports": lambda s, d: resolved_imports(table(s, d, "part")),
-    "join22_overrides_below": lambda s, d: overrides_below(table(s, d, "part")),
     "join25_fact_topics": lambda s, d: fact_topics(table(s, d, "part"), ["economy", "brass", "small.plated.tin"]),
-    "prj28_principal_scope": lambda s, d: principal_scope(units(s, d)),
-    "prj37_action_references": lambda s, d: action_references(table(s, d, "part")),
-    "prj38_image_tags": lambda s, d: image_tags(table(s, d, "part")),
     "srt03_unit_order": lambda s, d: unit_order(units(s, d)),
-    "scl22_env_substitution": lambda s, d: env_substituted(units(s, d)),
 }
 _KR = "CASE kind " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(UNIT_KINDS)) + " END"
 ORACLES = {
@@ -142,13 +88,7 @@ ORACLES = {
     "set02_ordered_union": "SELECT p_partkey, string_agg(w, ' ' ORDER BY i) AS words FROM (SELECT p_partkey, w, min(i) AS i FROM (SELECT p_partkey, unnest(string_split(lower(p_name) || ' ' || lower(p_type), ' ')) AS w, generate_subscripts(string_split(lower(p_name) || ' ' || lower(p_type), ' '), 1) AS i FROM part) GROUP BY p_partkey, w) GROUP BY p_partkey",
     "set05_without_agent": with_views("SELECT run, count(*) AS findings FROM v_finding WHERE source <> 'F' GROUP BY run", "v_finding"),
     "set09_units_of_batches": with_views("SELECT DISTINCT run, unnest(range(batch, batch + units % 4 + 1)) AS unit FROM v_batch WHERE status = 'failed'", "v_batch"),
-    "join18_resolved_imports": "SELECT p_partkey, CASE WHEN p_partkey * 3 <= m THEN p_partkey * 3 WHEN p_partkey * 2 <= m THEN p_partkey * 2 ELSE p_partkey + 1 END AS target FROM part, (SELECT max(p_partkey) AS m FROM part) WHERE p_partkey < m",
-    "join22_overrides_below": "SELECT p_partkey, '^' || p_size % 10 || '.' || p_partkey % 5 || '.0' AS declared, p_partkey % 10 || '.' || p_size % 5 || '.1' AS \"override\" FROM part WHERE p_partkey % 10 < p_size % 10 OR (p_partkey % 10 = p_size % 10 AND p_size % 5 < p_partkey % 5)",
     "join25_fact_topics": "SELECT p_partkey, kind FROM (SELECT p_partkey, replace(lower(p_type), ' ', '.') AS kind FROM part) WHERE kind IN ('economy', 'brass', 'small.plated.tin') OR split_part(kind, '.', 1) IN ('economy', 'brass') OR string_split(kind, '.')[-1] IN ('economy', 'brass')",
-    "prj28_principal_scope": with_views("SELECT unit_id, CASE WHEN unit_id % 3 = 0 THEN 'yes' WHEN unit_id % 4 = 0 THEN 'scoped' ELSE 'no' END AS principal FROM v_unit", "v_unit"),
-    "prj37_action_references": "SELECT p_partkey, 'org' || p_partkey % 7 AS owner, 'tool' AS repository, CASE p_partkey % 3 WHEN 0 THEN 'sha' WHEN 1 THEN 'tag' ELSE 'branch' END AS pin FROM part",
-    "prj38_image_tags": "SELECT p_partkey, 'node' || ['', ':latest', ':20', ':20.11.1-slim'][p_size % 4 + 1] AS image, ['floating', 'floating', 'partial', 'exact'][p_size % 4 + 1] AS \"precision\" FROM part",
     "srt03_unit_order": with_views(f"SELECT run, unit_id, row_number() OVER (PARTITION BY run ORDER BY {_KR}, file, line, unit_id) AS place FROM v_unit", "v_unit"),
-    "scl22_env_substitution": with_views("SELECT unit_id, 'run ' || segment || ' for ' || kind || ' and ${{ env.NONE }} at ' || file AS text FROM v_unit", "v_unit"),
 }
 ORACLES["srt03_unit_order"] = with_int(ORACLES["srt03_unit_order"], "place")

@@ -5,29 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import duration_text, entropy, glob_to_regex, lock_risk, masked_tail, path_parameters, shortened, slug, split_words, sql_operation, sql_verb, version_gap, where_columns
-from ledgerloom.sources.views import batches, lines, table, units, with_views
+from ledgerloom.functions.text import entropy, glob_to_regex, shortened, slug, split_words
+from ledgerloom.operators.grading import PUBLIC_NAMES, SECRET_NAMES, secret_name_role, secret_value_shape
+from ledgerloom.sources.views import batches, lines, table, with_views
 
 _SECRET = r'(\w+) = "([0-9a-f]{20,})"'
+MASK = "********"
 
 
 def secrets(rows: DataFrame) -> DataFrame:
-    """Secret assignments in lines with their entropy, shape and grade."""
-    hit = rows.select("doc_id", "line_no", F.regexp_extract("line", _SECRET, 1).alias("name"), F.regexp_extract("line", _SECRET, 2).alias("value")).where("value <> ''")
-    bits = F.floor(entropy(F.col("value")) * 1000 + 0.5) / 1000
-    hit = hit.withColumn("bits", bits)
-    shape = F.when(F.char_length("value") < 12, "trivial").when(F.col("bits") >= 3, "credible").otherwise("unknown")
-    role = F.when(F.col("name").rlike("(?i)token|secret|key|pass"), "secret").otherwise("unknown")
-    hit = hit.withColumns({"shape": shape, "role": role})
-    grade = F.when((F.col("shape") == "credible") & (F.col("role") == "secret"), "high").when(F.col("shape") == "credible", "medium").otherwise("low")
-    return hit.select("doc_id", "line_no", "name", "bits", "shape", "role", grade.alias("severity"), masked_tail(F.col("value")).alias("masked"))
+    """Secret assignments in lines with entropy, shape, role and grade, and the line with the value masked wherever it stands."""
+    hit = rows.select("doc_id", "line_no", "line", F.regexp_extract("line", _SECRET, 1).alias("name"), F.regexp_extract("line", _SECRET, 2).alias("value")).where("value <> ''")
+    hit = hit.withColumns({"bits": F.floor(entropy(F.col("value")) * 1000 + 0.5) / 1000, "shape": secret_value_shape(F.col("value")), "role": secret_name_role(F.col("name"))})
+    grade = F.when(F.col("shape") != "credible", "info").when(F.col("role") == "identifier", "low").otherwise("high")
+    masked = F.replace("line", F.col("value"), F.lit(MASK))
+    return hit.select("doc_id", "line_no", "name", "bits", "shape", "role", grade.alias("severity"), masked.alias("masked"))
 
 
 def secret_groups(rows: DataFrame) -> DataFrame:
-    """Hits of one value: number, documents and first place."""
-    value = F.regexp_extract("line", _SECRET, 2)
-    hit = rows.withColumn("value", value).where("value <> ''")
-    return hit.groupBy(F.substring(F.sha2("value", 256), 1, 16).alias("fingerprint")).agg(F.count("*").alias("hits"), F.countDistinct("doc_id").alias("documents"), F.min("doc_id").alias("first_doc"))
+    """Hits of one value in one document: number and first line."""
+    hit = rows.withColumn("value", F.regexp_extract("line", _SECRET, 2)).where("value <> ''")
+    return hit.groupBy("doc_id", F.substring(F.sha2("value", 256), 1, 16).alias("fingerprint")).agg(F.count("*").alias("hits"), F.min("line_no").alias("first_line"))
 
 
 def snippets(rows: DataFrame, refs: DataFrame, context: int = 3, width: int = 60) -> DataFrame:
@@ -40,9 +38,9 @@ def snippets(rows: DataFrame, refs: DataFrame, context: int = 3, width: int = 60
 
 
 def binary_share(rows: DataFrame) -> DataFrame:
-    """Texts that look binary: a NUL, or over 30 % control characters among the first 8000."""
-    head = F.substring("text", 1, 8000)
-    control = F.regexp_count(head, F.lit(r"[\x01-\x08\x0E-\x1F]"))
+    """Texts that look binary: a NUL, or over 30 % control bytes among the first 8000 bytes."""
+    head = F.decode(F.substring(F.encode("text", "UTF-8"), 1, 8000), "ISO-8859-1")
+    control = F.regexp_count(head, F.lit(r"[\x01-\x08\x0B\x0C\x0E-\x1F\x7F]"))
     return rows.select("doc_id", (F.contains(head, F.lit("\x00")) | (control > F.char_length(head) * 0.3)).alias("binary"))
 
 
@@ -60,64 +58,12 @@ def names(rows: DataFrame) -> DataFrame:
     return rows.select("p_partkey", F.array_join(split_words(F.concat(camel, F.lit("_v2"))), " ").alias("words"), shortened(F.col("p_name"), 10).alias("short"))
 
 
-def version_gaps(rows: DataFrame) -> DataFrame:
-    have = F.concat_ws(".", F.col("p_size").cast("string"), (F.col("p_partkey") % 10).cast("string"), F.lit("0"))
-    latest = F.concat_ws(".", (F.col("p_size") + F.when(F.col("p_partkey") % 4 == 0, 1).otherwise(0)).cast("string"), (F.col("p_partkey") % 10 + F.when(F.col("p_partkey") % 3 == 0, 1).otherwise(0)).cast("string"), (F.col("p_partkey") % 2).cast("string"))
-    return rows.select("p_partkey", version_gap(have, latest).alias("gap"))
-
-
-def _statement():
-    t = F.concat(F.lit("tbl_"), (F.col("unit_id") % 13).cast("string"))
-    forms = [
-        F.concat(F.lit("ALTER TABLE "), t, F.lit(" DROP COLUMN a")), F.concat(F.lit("create index i on "), t, F.lit(" (a)")),
-        F.concat(F.lit("SELECT a FROM "), t, F.lit(" WHERE Owner = 1 and b.id in (2)")), F.concat(F.lit("UPDATE "), t, F.lit(" SET a = 1 WHERE k = 2")),
-        F.concat(F.lit("ALTER TABLE "), t, F.lit(" ADD COLUMN c int NOT NULL")), F.concat(F.lit("DELETE FROM "), t), F.concat(F.lit("CREATE TABLE "), t, F.lit(" (a int)")),
-    ]
-    return F.element_at(F.array(*forms), (F.col("unit_id") % 7 + 1).cast("int"))
-
-
-def statements(rows: DataFrame) -> DataFrame:
-    """SQL statements with verb, operation, lock risk and the columns of the WHERE clause."""
-    rows = rows.select("unit_id", _statement().alias("sql"))
-    op = sql_operation(F.col("sql"))
-    return rows.select("unit_id", "sql", sql_verb(F.col("sql")).alias("verb"), op.alias("operation"), lock_risk(op).alias("lock"), F.array_join(where_columns(F.col("sql")), ",").alias("where_columns"))
-
-
-def sql_files(rows: DataFrame) -> DataFrame:
-    """Per file: operations in order of first use, worst lock, whether schema or data are touched."""
-    rank = F.when(F.col("lock") == "high", 0).when(F.col("lock") == "medium", 1).when(F.col("lock") == "low", 2).otherwise(3)
-    first = rows.groupBy("file", "operation").agg(F.min("unit_id").alias("at"), F.min(rank).alias("lock"))
-    got = first.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("at", "operation"))).alias("ops"), F.min("lock").alias("worst_lock"), F.bool_or(F.col("operation") == "data").alias("touches_data"))
-    return got.select("file", F.array_join(F.transform("ops", lambda x: x["operation"]), ",").alias("operations"), "worst_lock", "touches_data")
-
-
-def failure_class(rows: DataFrame) -> DataFrame:
-    """Failure texts by class; the first pattern that matches decides."""
-    text = F.concat(F.col("status"), F.lit(" after "), F.floor("duration").cast("string"), F.lit(" s"))
-    kind = F.when(text.rlike("^failed after [0-9]{3,}"), "timeout").when(text.startswith("failed"), "transient").when(text.startswith("partial"), "incomplete").otherwise("none")
-    return rows.select("batch", kind.alias("failure"), duration_text(F.floor(F.col("duration") * 10)).alias("took"))
-
-
 def run_stamps(rows: DataFrame) -> DataFrame:
     """Run id of a time, and the time back from it."""
     stamp = F.date_format("at", "yyyyMMdd'T'HHmmss")
     return rows.select("batch", stamp.alias("run_id"), F.unix_timestamp(F.to_timestamp(stamp, "yyyyMMdd'T'HHmmss")).alias("seconds"))
 
 
-def route_params(rows: DataFrame) -> DataFrame:
-    path = F.concat(F.lit("/api/"), F.lower(F.col("segment")), F.lit("/:id/items/{item_"), (F.col("unit_id") % 3).cast("string"), F.lit("}"))
-    return rows.select("unit_id", path.alias("path"), F.array_join(path_parameters(path), ",").alias("parameters"))
-
-
-def rings(rows: DataFrame) -> DataFrame:
-    """Cycles of three parts, turned so that the least comes first; equal rings once."""
-    k = F.col("p_partkey")
-    ring = F.array(k % 50, (k * 7 + 3) % 50, (k * 11 + 5) % 50)
-    at = F.array_position(ring, F.array_min(ring)).cast("int")
-    turned = F.concat(F.slice(ring, at, F.lit(3)), F.slice(ring, F.lit(1), at - 1))
-    return rows.select(F.array_join(turned, ">").alias("ring")).distinct()
-
-
 def _refs(s, d):
     return lines(s, d).where("line_no % 9 = 4").select("doc_id", F.col("line_no").alias("cited"))
 
@@ -130,35 +76,20 @@ QUERIES = {
     "src03_binary": lambda s, d: binary_share(table(s, d, "documents")),
     "prj41_page_paths": lambda s, d: page_paths(table(s, d, "pages")),
     "prj29_names": lambda s, d: names(table(s, d, "part")),
-    "prj25_version_gaps": lambda s, d: version_gaps(table(s, d, "part")),
-    "prj30_statements": lambda s, d: statements(units(s, d)),
-    "agg40_sql_files": lambda s, d: sql_files(statements(units(s, d)).join(units(s, d).select("unit_id", "file"), "unit_id")),
-    "prj48_failures": lambda s, d: failure_class(batches(s, d)),
     "scl16_run_stamps": lambda s, d: run_stamps(batches(s, d)),
-    "scl09_route_params": lambda s, d: route_params(units(s, d)),
-    "agg38_rings": lambda s, d: rings(table(s, d, "part")),
 }
-_SEC = """SELECT doc_id, line_no, regexp_extract(line, '(\\w+) = "([0-9a-f]{20,})"', 1) AS name, regexp_extract(line, '(\\w+) = "([0-9a-f]{20,})"', 2) AS value FROM v_line
+_SEC = """SELECT doc_id, line_no, line, regexp_extract(line, '(\\w+) = "([0-9a-f]{20,})"', 1) AS name, regexp_extract(line, '(\\w+) = "([0-9a-f]{20,})"', 2) AS value FROM v_line
  WHERE regexp_matches(line, '(\\w+) = "([0-9a-f]{20,})"')"""
 _BITS = "floor(-list_sum(list_transform(list_distinct(string_split(value, '')), lambda c: (len(value) - len(replace(value, c, ''))) / len(value) * log2((len(value) - len(replace(value, c, ''))) / len(value)))) * 1000 + 0.5) / 1000"
-_STMT = """SELECT unit_id, file, ['ALTER TABLE ' || t || ' DROP COLUMN a', 'create index i on ' || t || ' (a)', 'SELECT a FROM ' || t || ' WHERE Owner = 1 and b.id in (2)', 'UPDATE ' || t || ' SET a = 1 WHERE k = 2',
- 'ALTER TABLE ' || t || ' ADD COLUMN c int NOT NULL', 'DELETE FROM ' || t, 'CREATE TABLE ' || t || ' (a int)'][unit_id % 7 + 1] AS sql,
- ['raw', 'raw', 'select', 'update', 'raw', 'delete', 'raw'][unit_id % 7 + 1] AS verb, ['drop-column', 'index', 'other', 'data', 'add-not-null', 'data', 'create-table'][unit_id % 7 + 1] AS operation,
- ['high', 'medium', 'none', 'none', 'high', 'none', 'low'][unit_id % 7 + 1] AS lock, ['', '', 'owner,b.id', 'k', '', '', ''][unit_id % 7 + 1] AS where_columns
- FROM (SELECT unit_id, file, 'tbl_' || CAST(unit_id % 13 AS VARCHAR) AS t FROM v_unit)"""
 ORACLES = {
     "src02_lines": with_views("SELECT * FROM v_line", "v_line"),
-    "prj14_secrets": with_views("SELECT doc_id, line_no, name, bits, shape, role, CASE WHEN shape = 'credible' AND role = 'secret' THEN 'high' WHEN shape = 'credible' THEN 'medium' ELSE 'low' END AS severity, masked FROM (SELECT *, CASE WHEN len(value) < 12 THEN 'trivial' WHEN bits >= 3 THEN 'credible' ELSE 'unknown' END AS shape, CASE WHEN regexp_matches(name, '(?i)token|secret|key|pass') THEN 'secret' ELSE 'unknown' END AS role, value[1:4] || repeat('*', greatest(len(value) - 4, 0)) AS masked FROM (SELECT *, " + _BITS + " AS bits FROM sec))", "v_line", sec=_SEC),
-    "agg26_secret_groups": with_views("SELECT substr(sha256(value), 1, 16) AS fingerprint, count(*) AS hits, count(DISTINCT doc_id) AS documents, min(doc_id) AS first_doc FROM sec GROUP BY 1", "v_line", sec=_SEC),
+    "prj14_secrets": with_views(f"""SELECT doc_id, line_no, name, bits, shape, role, CASE WHEN shape <> 'credible' THEN 'info' WHEN role = 'identifier' THEN 'low' ELSE 'high' END AS severity, masked FROM
+ (SELECT *, CASE WHEN regexp_matches(value, '^[0-9]+$') OR bits < 3 THEN 'trivial' ELSE 'credible' END AS shape, CASE WHEN regexp_matches(n, '{"|".join(PUBLIC_NAMES)}') THEN 'identifier' WHEN regexp_matches(n, '{"|".join(SECRET_NAMES)}') THEN 'secret' ELSE 'unknown' END AS role,
+  replace(line, value, '{MASK}') AS masked FROM (SELECT *, {_BITS} AS bits, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS n FROM sec))""", "v_line", sec=_SEC),
+    "agg26_secret_groups": with_views("SELECT doc_id, substr(sha256(value), 1, 16) AS fingerprint, count(*) AS hits, min(line_no) AS first_line FROM sec GROUP BY ALL", "v_line", sec=_SEC),
     "prj42_snippets": with_views("SELECT r.doc_id, r.cited, string_agg(CASE WHEN l.line_no = r.cited THEN '>' ELSE ' ' END || l.line_no || ' ' || CASE WHEN length(l.line) > 60 THEN substr(l.line, 1, 59) || '…' ELSE l.line END, chr(10) ORDER BY l.line_no) AS snippet FROM (SELECT doc_id, line_no AS cited FROM v_line WHERE line_no % 9 = 4) r JOIN v_line l ON l.doc_id = r.doc_id AND abs(l.line_no - r.cited) <= 3 GROUP BY ALL", "v_line"),
-    "src03_binary": "SELECT doc_id, contains(h, chr(0)) OR len(regexp_extract_all(h, '[\\x01-\\x08\\x0E-\\x1F]')) > length(h) * 0.3 AS \"binary\" FROM (SELECT doc_id, substr(text, 1, 8000) AS h FROM documents)",
+    "src03_binary": "SELECT doc_id, list_contains(b, '00') OR len(list_filter(b, lambda x: x IN ('0B', '0C', '7F') OR (x < '20' AND x NOT IN ('00', '09', '0A', '0D')))) > len(b) * 0.3 AS \"binary\" FROM (SELECT doc_id, regexp_extract_all(substr(hex(encode(text)), 1, 16000), '..') AS b FROM documents)",
     "prj41_page_paths": "SELECT page_id, path, CASE WHEN regexp_matches(path, '\\.html$') THEN 'page' WHEN regexp_matches(path, '/$') THEN 'directory' ELSE 'entry' END AS kind, regexp_replace(regexp_replace(lower(trim(path)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, starts_with(path, '/en/') AS in_scope FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+([^?#]*)', 1) AS path FROM pages)",
     "prj29_names": "SELECT p_partkey, lower(p_name) || ' v2' AS words, CASE WHEN length(p_name) > 10 THEN substr(p_name, 1, 9) || '…' ELSE p_name END AS short FROM part",
-    "prj25_version_gaps": "SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'major' WHEN p_partkey % 3 = 0 THEN 'minor' WHEN p_partkey % 2 = 1 THEN 'patch' ELSE 'none' END AS gap FROM part",
-    "prj30_statements": with_views("SELECT * EXCLUDE (file) FROM st", "v_unit", st=_STMT),
-    "agg40_sql_files": with_views("SELECT file, string_agg(operation, ',' ORDER BY first_) AS operations, min(lock) AS worst_lock, bool_or(operation = 'data') AS touches_data FROM (SELECT file, operation, min(unit_id) AS first_, CAST(min(CASE lock WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END) AS INTEGER) AS lock FROM st GROUP BY ALL) GROUP BY file", "v_unit", st=_STMT),
-    "prj48_failures": with_views("SELECT batch, CASE WHEN status = 'failed' AND floor(duration) >= 100 THEN 'timeout' WHEN status = 'failed' THEN 'transient' WHEN status = 'partial' THEN 'incomplete' ELSE 'none' END AS failure, CASE WHEN s < 60 THEN s || ' s' WHEN s < 3600 THEN s // 60 || ' min' ELSE s // 3600 || ' h' END AS took FROM (SELECT *, CAST(floor(duration * 10) AS BIGINT) AS s FROM v_batch)", "v_batch"),
     "scl16_run_stamps": with_views("SELECT batch, strftime(\"at\", '%Y%m%dT%H%M%S') AS run_id, epoch(date_trunc('second', \"at\"))::BIGINT AS seconds FROM v_batch", "v_batch"),
-    "scl09_route_params": with_views("SELECT unit_id, '/api/' || lower(segment) || '/:id/items/{item_' || CAST(unit_id % 3 AS VARCHAR) || '}' AS path, 'id,item_' || CAST(unit_id % 3 AS VARCHAR) AS parameters FROM v_unit", "v_unit"),
-    "agg38_rings": "SELECT DISTINCT CASE WHEN a <= least(b, c) THEN concat_ws('>', a, b, c) WHEN b <= c AND b < a THEN concat_ws('>', b, c, a) ELSE concat_ws('>', c, a, b) END AS ring FROM (SELECT p_partkey % 50 AS a, (p_partkey * 7 + 3) % 50 AS b, (p_partkey * 11 + 5) % 50 AS c FROM part)",
 }

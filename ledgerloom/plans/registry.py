@@ -13,6 +13,9 @@ MODULES: list[str] = [
     "ledgerloom.operators.coverage",
     "ledgerloom.operators.joins",
     "ledgerloom.operators.windows",
+    "ledgerloom.operators.grading",
+    "ledgerloom.operators.scalars",
+    "ledgerloom.operators.workflows",
     "ledgerloom.operators.texts",
     "ledgerloom.operators.facts",
     "ledgerloom.operators.selections",

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scales import band_of, rank_of, round_half_up
-from ledgerloom.functions.text import duration_text, entropy, glob_to_regex, route_of_file, slug, split_words, version
+from ledgerloom.functions.text import duration_text, entropy, glob_to_regex, route_of_file, slug, split_words, version, version_gap
 from ledgerloom.operators.facts import assurances, license_rollup, merged_facts
 from ledgerloom.operators.joins import asof_backward, related, shortest_paths
 from ledgerloom.operators.windows import greedy_batches, within_budget
@@ -24,9 +24,11 @@ def test_text(spark):
     assert abs(one(spark, entropy(F.lit("aabb"))) - 1.0) < 1e-9
     assert one(spark, split_words(F.lit("getUserID_v2"))) == ["get", "user", "id", "v2"]
     assert one(spark, slug(F.lit("  Hello, World! "))) == "hello-world"
-    assert one(spark, route_of_file(F.lit("src/app/(auth)/users/[id]/page.tsx"))) == "/users/:id"
-    assert tuple(one(spark, version(F.lit("^1.20.3-rc.1")))) == (1, 20, 3, "rc.1") and one(spark, version(F.lit("latest"))) is None
-    assert one(spark, duration_text(F.lit(61))) == "1 min"
+    assert one(spark, route_of_file(F.lit("src/app/(auth)/users/[id]/page.tsx"))) == "/users/[id]" and one(spark, route_of_file(F.lit("src/app/x.tsx"))) is None
+    assert tuple(one(spark, version(F.lit("v1.20.3-rc.1")))) == (1, 20, 3, False, "rc.1") and one(spark, version(F.lit("^1.20.3"))) is None
+    for have, latest, gap in (("2.0.0", "1.9.0", "none"), ("1.0.0-rc.1", "1.0.0", "patch"), ("1.0", "latest", None), ("1.2.3", "1.3.0", "minor"), ("1.2.3", "2.0.0-a", "major")):
+        assert one(spark, version_gap(F.lit(have), F.lit(latest))) == gap
+    assert [one(spark, duration_text(F.lit(s))) for s in (40, 120, 150)] == ["+40s", "+2m", "+2m 30s"]
     for pattern, path, hit in (("src/**/*.ts", "src/a/b/c.ts", True), ("src/**/*.ts", "src/c.ts", True), ("src/*.ts", "src/a/c.ts", False), ("a?.b", "ax.b", True), ("a?.b", "a/.b", False)):
         assert one(spark, F.lit(path).rlike(glob_to_regex(pattern))) == hit
 
