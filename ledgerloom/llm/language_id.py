@@ -190,32 +190,50 @@ def fit_centroids(
         .mapInArrow(sparse, "lang string, index binary, value binary")
         .collect()
     )
-    counts = np.zeros((len(sample), DIMENSIONS), np.float32)
     sample.sort(key=lambda r: (r["lang"] is None, r["lang"], bytes(r["index"]), bytes(r["value"])))
-    for i, r in enumerate(sample):
-        counts[i, np.frombuffer(r["index"], "<u2")] = np.frombuffer(r["value"], "<f4")
+    counts = [(np.frombuffer(r["index"], "<u2"), np.frombuffer(r["value"], "<f4")) for r in sample]
     langs = [r["lang"] for r in sample if r["lang"] is not None]
     if not langs:
         return NO_LANGUAGE
     return centroid_model(langs, counts[: len(langs)], clusters, counts[len(langs) :])
 
 
-def centroid_model(langs: list[str], counts: np.ndarray, clusters: int = CLUSTERS, beginnings: np.ndarray | None = None) -> CentroidModel:
-    """The model of labelled n-gram counts, one row a text; beginnings of texts help to set the least cosines."""
-    idf = (np.log((1 + len(langs)) / (1 + (counts > 0).sum(0))) + 1).astype(np.float32)
+def _dense(counts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    rows = np.zeros((len(counts), DIMENSIONS), np.float32)
+    for i, (at, n) in enumerate(counts):
+        rows[i, at] = n
+    return rows
+
+
+def centroid_model(
+    langs: list[str],
+    counts: list[tuple[np.ndarray, np.ndarray]],
+    clusters: int = CLUSTERS,
+    beginnings: list[tuple[np.ndarray, np.ndarray]] | None = None,
+) -> CentroidModel:
+    """The model of labelled n-gram counts (dimensions and counts of each text); beginnings of texts help to set the least cosines.
+
+    No more than the texts of one language, or a block of 256, are dense at a time.
+    """
+    seen = np.zeros(DIMENSIONS)
+    for at, _ in counts:
+        seen[at] += 1
+    idf = (np.log((1 + len(langs)) / (1 + seen)) + 1).astype(np.float32)
     languages = sorted(set(langs))
     model = CentroidModel(languages, np.zeros(0, int), np.zeros((0, DIMENSIONS), np.float32), idf, np.zeros(32))
-    vectors = model.vectors(counts)
     parts, of = [], []
     for k, lang in enumerate(languages):
-        own = vectors[[i for i, x in enumerate(langs) if x == lang]]
-        found = spherical_clusters(own, clusters)
+        found = spherical_clusters(model.vectors(_dense([c for c, x in zip(counts, langs, strict=True) if x == lang])), clusters)
         parts.append(found)
         of += [k] * len(found)
     model.centroids, model.of = np.concatenate(parts), np.array(of, int)
-    every = counts if beginnings is None else np.concatenate([counts, beginnings])
-    reached = (model.vectors(every) @ model.centroids.T).max(1)
-    model.least = least_cosines(reached, every.sum(1))
+    every = counts + (beginnings or [])
+    reached, grams = np.zeros(len(every), np.float32), np.zeros(len(every))
+    for start in range(0, len(every), 256):
+        block = _dense(every[start : start + 256])
+        reached[start : start + 256] = (model.vectors(block) @ model.centroids.T).max(1)
+        grams[start : start + 256] = block.sum(1)
+    model.least = least_cosines(reached, grams)
     return model
 
 
