@@ -16,6 +16,7 @@ MODULES: list[str] = [
     "ledgerloom.operators.grading",
     "ledgerloom.operators.scalars",
     "ledgerloom.operators.workflows",
+    "ledgerloom.operators.dependencies",
     "ledgerloom.operators.texts",
     "ledgerloom.operators.facts",
     "ledgerloom.operators.selections",

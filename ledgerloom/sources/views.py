@@ -50,6 +50,8 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_partkey").cast("string").alias("symbol"),
         F.col("l_linestatus").alias("source"),
         F.concat(F.lit("order "), F.col("l_orderkey").cast("string")).alias("title"),
+        F.concat(F.lit("part "), F.col("l_partkey").cast("string"), F.lit(" on "), F.col("l_linestatus")).alias("description"),
+        F.concat(F.lit("review "), F.col("l_suppkey").cast("string")).alias("recommendation"),
         F.col("l_quantity").cast("int").alias("quantity"),
         (F.col("l_quantity").cast("int") % 6).alias("n_evidence"),
         (F.col("l_suppkey") % 6).cast("int").alias("n_criteria"),
@@ -167,7 +169,7 @@ FROM (SELECT *, CASE WHEN part % 5 = 0 AND domain IN ('appsec', 'dependencies',
       FROM (SELECT o_custkey AS run, l_partkey AS part, [{_D}][l_partkey % 8 + 1] AS domain,
              {sql_case("o_orderpriority", _SEVERITY)} AS severity, {sql_case("l_returnflag", _CONFIDENCE)} AS confidence,
              'supp/' || CAST(l_suppkey AS VARCHAR) AS file, CAST(l_linenumber AS INTEGER) AS line, CAST(l_partkey AS VARCHAR) AS symbol,
-             l_linestatus AS source, 'order ' || CAST(l_orderkey AS VARCHAR) AS title, CAST(trunc(l_quantity) AS INTEGER) AS quantity,
+             l_linestatus AS source, 'order ' || CAST(l_orderkey AS VARCHAR) AS title, 'part ' || CAST(l_partkey AS VARCHAR) || ' on ' || l_linestatus AS description, 'review ' || CAST(l_suppkey AS VARCHAR) AS recommendation, CAST(trunc(l_quantity) AS INTEGER) AS quantity,
              CAST(trunc(l_quantity) AS INTEGER) % 6 AS n_evidence, CAST(l_suppkey % 6 AS INTEGER) AS n_criteria, CAST(l_partkey % 7 AS INTEGER) AS n_tags,
              l_discount >= 0.05 AS exploitable, l_tax >= 0.04 AS has_snippet, l_linenumber % 2 = 0 AS has_end
       FROM lineitem JOIN orders ON l_orderkey = o_orderkey))""",
