@@ -19,6 +19,9 @@ QUERIES = {
     "chat_snapshots": "op3_chat_snapshots",
     "html_extraction": "op9_html_extraction",
     "token_counts": "op4_token_counts",
+    "source_divergence": "op11_source_divergence",
+    "simhash_balls": "op12_simhash_balls",
+    "vector_codes": "op13_vector_codes",
 }
 
 # The search half of the fingerprints.
