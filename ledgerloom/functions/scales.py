@@ -46,7 +46,8 @@ def rank_of(column: Column, scale: tuple[str, ...]) -> Column:
 
 
 def label_of(rank: Column, scale: tuple[str, ...]) -> Column:
-    return F.element_at(F.array(*map(F.lit, scale)), (rank + 1).cast("int"))
+    """Word of a place in a scale; null on null and outside the scale."""
+    return F.when(rank.isNotNull() & (rank >= 0) & (rank < len(scale)), F.get(F.array(*map(F.lit, scale)), rank.cast("int")))
 
 
 def lookup(column: Column, table: dict) -> Column:

@@ -152,19 +152,21 @@ def overall_scores(scores: DataFrame) -> DataFrame:
     Domains without a score don't count; a run without any has no number and isn't assessed.
     """
     scored = F.col("score").isNotNull()
+    weight = F.round(F.col("effective_weight") * 100).cast("long")
     got = scores.withColumn("dom", rank_of(F.col("domain"), DOMAINS)).groupBy("run").agg(
-        F.sum(F.col("score") * F.col("effective_weight")).alias("sw"),
-        F.sum("effective_weight").alias("w"),
-        F.avg("score").alias("plain"),
+        F.sum(F.when(scored, F.col("score") * weight)).alias("sw"),
+        F.sum(F.when(scored, weight)).alias("w"),
+        F.sum("score").alias("plain"),
         F.min(F.when(scored, F.struct("score", "dom"))).alias("worst"),
         F.count("score").alias("scored"),
         F.count("*").alias("domains"),
         F.bool_or(F.col("status") == "partial").alias("partial"),
     )
-    mean = round_half_up(F.when(F.col("w") > 0, F.col("sw") / F.col("w")).otherwise(F.col("plain")), 1)
-    limit = F.least(F.lit(100), F.col("worst.score") + WORST_DOMAIN_HEADROOM)
-    limit = F.when(F.col("worst").isNotNull(), limit)
-    got = got.select("run", "domains", "scored", "partial", mean.alias("weighted_mean"), limit.alias("limit_"), label_of(F.col("worst.dom"), DOMAINS).alias("worst_domain"))
+    # Tenths of the mean, half up, by whole numbers: no order of addition can flip a tie.
+    tenths = F.when(F.col("w") > 0, F.expr("(20 * sw + w) div (2 * w)")).when(F.col("scored") > 0, F.expr("(20 * plain + scored) div (2 * scored)"))
+    limit = F.when(F.col("scored") > 0, F.least(F.lit(100), F.col("worst.score") + WORST_DOMAIN_HEADROOM))
+    worst = F.when(F.col("scored") > 0, label_of(F.col("worst.dom"), DOMAINS))
+    got = got.select("run", "domains", "scored", "partial", (tenths / 10).alias("weighted_mean"), limit.alias("limit_"), worst.alias("worst_domain"))
     score = F.when(F.col("scored") > 0, round_half_up(F.least(F.col("weighted_mean"), F.col("limit_").cast("double"))).cast("int"))
     status = F.when(F.col("scored") == 0, "not-assessed").when(F.col("partial") | (F.col("scored") < F.col("domains")), "partial").otherwise("scored")
     return got.select(
@@ -360,8 +362,8 @@ ORACLES = {
  CASE WHEN scored = 0 THEN 'not-assessed' WHEN partial OR scored < 8 THEN 'partial' ELSE 'scored' END AS status
  FROM (SELECT *, CAST(floor(least(weighted_mean, limit_::DOUBLE) + 0.5) AS INTEGER) AS score FROM
  (SELECT run, count(score) AS scored, bool_or(status = 'partial') AS partial,
-  floor(CASE WHEN sum(effective_weight) > 0 THEN sum(score * effective_weight) / sum(effective_weight) ELSE avg(score) END * 10 + 0.5) / 10 AS weighted_mean,
-  CASE WHEN min(score) IS NOT NULL THEN least(100, min(score) + 15) END AS limit_, arg_min(domain, score * 10 + {_RANK}) AS worst_domain FROM scores GROUP BY run))""",
+  floor(CASE WHEN sum(ew) FILTER (score IS NOT NULL) > 0 THEN (20 * sum(score * ew) + sum(ew) FILTER (score IS NOT NULL)) // (2 * sum(ew) FILTER (score IS NOT NULL)) ELSE (20 * sum(score) + count(score)) // (2 * count(score)) END) / 10 AS weighted_mean,
+  CASE WHEN min(score) IS NOT NULL THEN least(100, min(score) + 15) END AS limit_, arg_min(domain, score * 10 + {_RANK}) AS worst_domain FROM (SELECT *, CAST(round(effective_weight * 100) AS BIGINT) AS ew FROM scores) GROUP BY run))""",
         *_ALL, **_PARTS,
     ),
     "srt10_weakest_domain": with_views(f"SELECT run, arg_min(domain, score * 10 + {_RANK}) AS domain, min(score) AS score FROM scores WHERE score IS NOT NULL GROUP BY run", *_ALL, **_PARTS),

@@ -1,47 +1,14 @@
-"""Window-like operators: budget prefixes, packing, progress, entry ends, first claims, caps, risk order."""
+"""Window-like operators: budget prefixes, packing, progress, entry ends, first claims, caps."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.scales import KIND_BASE, UNIT_KINDS, lookup, rank_of, round_half_up, sql_case
+from ledgerloom.functions.scales import round_half_up
 from ledgerloom.sources.views import batches, lines, table, units, with_int, with_views
 
 
-def risk_scores(rows: DataFrame) -> DataFrame:
-    """Risk of a unit: base of its kind and the points of signals that fire, with reasons by points."""
-    fired = F.array_compact(
-        F.array(
-            F.when(F.col("cause") == "no-verdict", F.struct(F.lit(24).alias("points"), F.lit("reachable without authentication").alias("why"))),
-            F.when(F.col("price") > 200000, F.struct(F.lit(12).alias("points"), F.lit("mutates state").alias("why"))),
-            F.when(F.col("priority").startswith("1"), F.struct(F.lit(10).alias("points"), F.lit("takes an object id from the request").alias("why"))),
-            F.when(F.col("segment") == "BUILDING", F.struct(F.lit(8).alias("points"), F.lit("no schema validation at the boundary").alias("why"))),
-        )
-    )
-    order = F.array_sort(fired, lambda a, b: F.when(a["points"] != b["points"], b["points"] - a["points"]).when(a["why"] < b["why"], -1).when(a["why"] > b["why"], 1).otherwise(0))
-    raw = lookup(F.col("kind"), KIND_BASE) + F.aggregate(fired, F.lit(0), lambda acc, x: acc + x["points"])
-    score = F.least(F.lit(100), F.greatest(F.lit(0), raw)).cast("int")
-    return rows.select("unit_id", "run", "kind", "file", "line", score.alias("risk"), F.array_join(F.transform(order, lambda x: x["why"]), "; ").alias("reasons"))
-
-
-def risk_order(rows: DataFrame) -> DataFrame:
-    order = Window.partitionBy("run").orderBy(F.desc("risk"), rank_of(F.col("kind"), UNIT_KINDS), "file", "line", "unit_id")
-    return rows.withColumn("place", F.row_number().over(order))
-
-
-def top_reasons(rows: DataFrame, limit: int = 3) -> DataFrame:
-    """The reasons of most units, then of best place, then by text."""
-    each = rows.where("reasons <> ''").select("kind", F.posexplode(F.split("reasons", "; ")).alias("pos", "why"))
-    found = each.groupBy("kind", "why").agg(F.count("*").alias("n"), F.min("pos").alias("best"))
-    order = Window.partitionBy("kind").orderBy(F.desc("n"), "best", "why")
-    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
-
-
-def mean_risk(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("kind").agg(round_half_up(F.avg("risk"), 2).alias("mean_risk"))
-
-
 def within_budget(rows: DataFrame, most_batches: int = 40, most_units: int = 300) -> DataFrame:
     """Batches of a run by duration until one doesn't fit; the first is always taken, later smaller ones never."""
     order = Window.partitionBy("run").orderBy(F.desc("duration"), "batch")
@@ -130,17 +97,7 @@ def latest_reply(rows: DataFrame) -> DataFrame:
     return rows.groupBy("conv_id").agg(F.max_by("role", "turn").alias("role"), F.max_by("text", "turn").alias("text"), F.count("*").alias("turns"))
 
 
-_RISK = f"""SELECT unit_id, run, kind, file, line, CAST(least(100, greatest(0, {sql_case("kind", KIND_BASE)}
- + CASE WHEN cause = 'no-verdict' THEN 24 ELSE 0 END + CASE WHEN price > 200000 THEN 12 ELSE 0 END
- + CASE WHEN priority LIKE '1%' THEN 10 ELSE 0 END + CASE WHEN segment = 'BUILDING' THEN 8 ELSE 0 END)) AS INTEGER) AS risk,
- concat_ws('; ', CASE WHEN cause = 'no-verdict' THEN 'reachable without authentication' END, CASE WHEN price > 200000 THEN 'mutates state' END,
- CASE WHEN priority LIKE '1%' THEN 'takes an object id from the request' END, CASE WHEN segment = 'BUILDING' THEN 'no schema validation at the boundary' END) AS reasons FROM v_unit"""
-_KR = "CASE kind " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(UNIT_KINDS)) + " END"
 QUERIES = {
-    "prj21_risk_scores": lambda s, d: risk_scores(units(s, d)),
-    "srt04_risk_order": lambda s, d: risk_order(risk_scores(units(s, d))).select("run", "unit_id", "risk", "place"),
-    "agg35_top_reasons": lambda s, d: top_reasons(risk_scores(units(s, d))),
-    "agg34_mean_risk": lambda s, d: mean_risk(risk_scores(units(s, d))),
     "win06_budget_prefix": lambda s, d: within_budget(batches(s, d)),
     "win07_greedy_batches": lambda s, d: greedy_batches(batches(s, d)),
     "win14_progress": lambda s, d: progress(batches(s, d)),
@@ -154,10 +111,6 @@ QUERIES = {
     "win15_latest_reply": lambda s, d: latest_reply(table(s, d, "conversations")),
 }
 ORACLES = {
-    "prj21_risk_scores": with_views("SELECT * FROM risk", "v_unit", risk=_RISK),
-    "srt04_risk_order": with_views(f"SELECT run, unit_id, risk, row_number() OVER (PARTITION BY run ORDER BY risk DESC, {_KR}, file, line, unit_id) AS place FROM risk", "v_unit", risk=_RISK),
-    "agg35_top_reasons": with_views("SELECT kind, why, n, CAST(best AS INTEGER) AS best, place FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n DESC, best, why) AS place FROM (SELECT kind, r[pos] AS why, count(*) AS n, min(pos) - 1 AS best FROM (SELECT kind, r, unnest(range(1, len(r) + 1)) AS pos FROM (SELECT kind, string_split(reasons, '; ') AS r FROM risk WHERE reasons <> '')) GROUP BY ALL)) WHERE place <= 3", "v_unit", risk=_RISK),
-    "agg34_mean_risk": with_views("SELECT kind, floor(avg(risk) * 100 + 0.5) / 100 AS mean_risk FROM risk GROUP BY kind", "v_unit", risk=_RISK),
     "win06_budget_prefix": with_views("SELECT run, batch, place, total FROM (SELECT *, min(CASE WHEN place <= 40 AND (total <= 300 OR place = 1) THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY place) AS ok FROM (SELECT *, row_number() OVER w AS place, CAST(sum(units) OVER w AS BIGINT) AS total FROM v_batch WINDOW w AS (PARTITION BY run ORDER BY duration DESC, batch ROWS UNBOUNDED PRECEDING))) WHERE ok = 1", "v_batch"),
     "win07_greedy_batches": with_views("SELECT run, batch, pack FROM walk", "v_batch", recursive=True, **{
         "o": "SELECT run, batch, units, row_number() OVER (PARTITION BY run ORDER BY batch) AS k FROM v_batch",
@@ -172,7 +125,5 @@ ORACLES = {
     "agg23_picked_statement": with_views("SELECT kind, segment AS statement, n FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n DESC, segment) AS p FROM (SELECT kind, segment, count(*) AS n FROM v_unit GROUP BY ALL)) WHERE p = 1", "v_unit"),
     "win15_latest_reply": "SELECT conv_id, arg_max(role, turn) AS role, arg_max(text, turn) AS text, count(*) AS turns FROM conversations GROUP BY conv_id",
 }
-ORACLES["srt04_risk_order"] = with_int(ORACLES["srt04_risk_order"], "place")
-ORACLES["agg35_top_reasons"] = with_int(ORACLES["agg35_top_reasons"], "place")
 ORACLES["win06_budget_prefix"] = with_int(ORACLES["win06_budget_prefix"], "place")
 ORACLES["win04_ordinals"] = with_int(ORACLES["win04_ordinals"], "ordinal")

@@ -12,6 +12,7 @@ MODULES: list[str] = [
     "ledgerloom.operators.normalise",
     "ledgerloom.operators.coverage",
     "ledgerloom.operators.joins",
+    "ledgerloom.operators.risk",
     "ledgerloom.operators.windows",
     "ledgerloom.operators.grading",
     "ledgerloom.operators.scalars",
