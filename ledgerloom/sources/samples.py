@@ -105,14 +105,16 @@ SAMPLES = {
         "value_text": pick(5, ("1", "session.user.id", "row.total", "auth()", "req.user", "tenantId", "jwt.sub", "")),
     },
     "workflow": {
-        "workflow": "concat('w', CAST(p_partkey AS STRING))", "triggers": pick(1, ("push", "pull_request_target", "issue_comment,push", "workflow_run", "schedule")),
+        "workflow": "concat('w', CAST(p_partkey AS STRING))", "triggers": pick(1, ("push", "pull_request_target", "issue_comment,push", "workflow_run", "schedule", "fork", "watch,push")),
         "permissions": pick(3, (None, "write-all", "contents:read", "contents:write,id-token:write", "")), "concurrency": pick(2, (None, "deploy-group")), "name": pick(4, ("CI", "Release", "deploy prod")),
     },
     "run_step": {
         "step_id": "p_partkey", "workflow": "concat('w', CAST(p_partkey % 40 AS STRING))", "job": pick(40, ("build", "deploy", "test")), "runner": pick(3, ("ubuntu-latest", "self-hosted", "linux,self-hosted")),
         "script": pick(1, (
             "npm ci", "echo ${{ github.event.issue.title }}", "echo ${{ secrets.TOKEN }}", "deploy --key ${{ secrets.DEPLOY_KEY }}", "git fetch ${{ github.head_ref }}", "run ${{ env.SEG }} or ${{ env.NONE }}",
-            "cat ${{ github.event.comment.body }} ${{ github.event.comment.body }}", "printf ok; echo done", "",
+            "cat ${{ github.event.comment.body }} ${{ github.event.comment.body }}", "printf ok; echo done", "", "run ${{ github.event.inputs.x }}", "echo ${{ github.event.head_commit.message }}",
+            "log ${{ toJSON(github.event.head_commit) }} ${{ github.event.issue.number }}", 'echo "//reg/:_t=${{ secrets.PAT }}" >> .npmrc', "echo ${{ secrets.A }} | base64", "echo ${{ secrets.A }} | tee out; curl x > y",
+            "print ${{ secrets.B }} >> $GITHUB_STEP_SUMMARY", "printf ${{ secrets.B }} >&2 && echo x > y", 'echo "a > ${{ secrets.C }} b"', "${{ github.event.pages.page_name }} ${{ github.event.workflow_run.head_branch }}",
         )),
         "checkout_ref": pick(7, (None, "${{ github.event.pull_request.head.sha }}", "main")), "segment": pick(2, ("north", "south")),
     },
