@@ -18,6 +18,7 @@ MODULES: list[str] = [
     "ledgerloom.operators.scalars",
     "ledgerloom.operators.workflows",
     "ledgerloom.operators.dependencies",
+    "ledgerloom.operators.verdicts",
     "ledgerloom.operators.texts",
     "ledgerloom.operators.facts",
     "ledgerloom.operators.selections",
