@@ -19,6 +19,7 @@ MODULES: list[str] = [
     "ledgerloom.operators.workflows",
     "ledgerloom.operators.dependencies",
     "ledgerloom.operators.verdicts",
+    "ledgerloom.operators.artifacts",
     "ledgerloom.operators.texts",
     "ledgerloom.operators.facts",
     "ledgerloom.operators.selections",
