@@ -8,6 +8,7 @@ cosine; it is rejected where that cosine is far below what training texts of its
 
 from __future__ import annotations
 
+import random
 import zlib
 from dataclasses import dataclass
 from functools import lru_cache
@@ -24,12 +25,17 @@ CLUSTERS = 4
 # Bounds of the labelled sample: texts of one language, and of all.
 SAMPLE_PER_LANGUAGE = 400
 SAMPLE_TOTAL = 20_000
-# Rejected below this share of the cosine that all but one in a hundred training texts of about the
-# same length reach. Beginnings of training texts stand for the short ones.
-SHARE, ONE_IN = 0.55, 100
-# A length class of fewer training texts has no threshold of its own.
+# The least cosine of a length is set by training texts of it and by noise of it: cuts of training texts
+# with random letters for theirs. It is what one noise text in ten reaches, in long texts one in a hundred;
+# but no more than a third (texts of fewer than 32 n-grams) or two fifths of what all but one in a hundred
+# training texts reach, which texts on other subjects do.
+SHORT, LONG, ONE_IN = 32, 256, 100
+OTHER_SHORT, OTHER = 1 / 3, 0.4
+# A length class of fewer texts takes the next shorter one's threshold.
 ENOUGH = 20
-BEGINNINGS = tuple(4 << k for k in range(9))
+CUTS = tuple(2 << k for k in range(10))
+# A single letter is no text of any language.
+LEAST_LETTERS = 2
 UNKNOWN = "und"
 
 _PIECE = 1 << 20
@@ -75,6 +81,24 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
+def short_cuts(text: str) -> list[str]:
+    """Two parts of the text, of lengths and at places that follow from the text."""
+    draw = random.Random(zlib.crc32(text.encode("utf-8", "replace")))
+    fits = [n for n in CUTS if n < len(text)]
+    out = []
+    for _ in range(2 if fits else 0):
+        n = draw.choice(fits)
+        start = draw.randrange(len(text) - n + 1)
+        out.append(text[start : start + n])
+    return out
+
+
+def noise_like(text: str) -> str:
+    """The text with a random letter for each of its own; the same text gives the same noise."""
+    draw = random.Random(zlib.crc32(text.encode("utf-8", "replace")) ^ 1)
+    return "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") if c.isalpha() else c for c in text)
+
+
 @dataclass
 class CentroidModel:
     """Unit centroids (rows), the language of each, the IDF weights and the least cosine by length."""
@@ -106,7 +130,8 @@ class CentroidModel:
                 else:
                     langs.append(self.languages[self.of[best[i]]])
                     scores.append(float(value[i]))
-                    rejected.append(bool(value[i] < self.least[_length_class(counts[i].sum())]))
+                    few = len(text) < 64 and sum(map(str.isalpha, text)) < LEAST_LETTERS
+                    rejected.append(few or bool(value[i] < self.least[_length_class(counts[i].sum())]))
         return langs, scores, rejected
 
 
@@ -166,36 +191,37 @@ def fit_centroids(
 
     def sparse(batches):
         for batch in batches:
-            langs, index, value = [], [], []
+            langs, roles, index, value = [], [], [], []
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if not has_letter(text):
                     continue
-                fits = [n for n in BEGINNINGS if n < len(text)]
-                begin = text[: fits[zlib.crc32(text.encode("utf-8", "replace")) % len(fits)]] if fits else ""
-                for given, of in ((text, lang), (begin, None)):
+                cuts = short_cuts(text)
+                whole = text[: CUTS[-1]]
+                for given, role in ((text, 0), *((c, 1) for c in cuts), *((noise_like(c), 2) for c in (*cuts, whole))):
                     if has_letter(given):
                         counts = ngram_counts(given)
                         at = np.flatnonzero(counts)
-                        langs.append(of)
+                        langs.append(lang)
+                        roles.append(role)
                         index.append(at.astype("<u2").tobytes())
                         value.append(counts[at].astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(langs, pa.string()), pa.array(index, pa.binary()), pa.array(value, pa.binary())],
-                ["lang", "index", "value"],
+                [pa.array(langs, pa.string()), pa.array(roles, pa.int32()), pa.array(index, pa.binary()), pa.array(value, pa.binary())],
+                ["lang", "role", "index", "value"],
             )
 
     sample = (
         rows.where(F.col("__draw") < bound)
         .select("__lang", "__text")
-        .mapInArrow(sparse, "lang string, index binary, value binary")
+        .mapInArrow(sparse, "lang string, role int, index binary, value binary")
         .collect()
     )
-    sample.sort(key=lambda r: (r["lang"] is None, r["lang"], bytes(r["index"]), bytes(r["value"])))
-    counts = [(np.frombuffer(r["index"], "<u2"), np.frombuffer(r["value"], "<f4")) for r in sample]
-    langs = [r["lang"] for r in sample if r["lang"] is not None]
+    sample.sort(key=lambda r: (r["role"], r["lang"], bytes(r["index"]), bytes(r["value"])))
+    of_role = lambda role: [(np.frombuffer(r["index"], "<u2"), np.frombuffer(r["value"], "<f4")) for r in sample if r["role"] == role]
+    langs = [r["lang"] for r in sample if r["role"] == 0]
     if not langs:
         return NO_LANGUAGE
-    return centroid_model(langs, counts[: len(langs)], clusters, counts[len(langs) :])
+    return centroid_model(langs, of_role(0), clusters, of_role(1), of_role(2))
 
 
 def _dense(counts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -209,9 +235,10 @@ def centroid_model(
     langs: list[str],
     counts: list[tuple[np.ndarray, np.ndarray]],
     clusters: int = CLUSTERS,
-    beginnings: list[tuple[np.ndarray, np.ndarray]] | None = None,
+    cuts: list[tuple[np.ndarray, np.ndarray]] | None = None,
+    noise: list[tuple[np.ndarray, np.ndarray]] | None = None,
 ) -> CentroidModel:
-    """The model of labelled n-gram counts (dimensions and counts of each text); beginnings of texts help to set the least cosines.
+    """The model of labelled n-gram counts (dimensions and counts of each text); cuts of texts and noise set the least cosines.
 
     No more than the texts of one language, or a block of 256, are dense at a time.
     """
@@ -227,30 +254,41 @@ def centroid_model(
         parts.append(found)
         of += [k] * len(found)
     model.centroids, model.of = np.concatenate(parts), np.array(of, int)
-    every = counts + (beginnings or [])
-    reached, grams = np.zeros(len(every), np.float32), np.zeros(len(every))
-    for start in range(0, len(every), 256):
-        block = _dense(every[start : start + 256])
-        reached[start : start + 256] = (model.vectors(block) @ model.centroids.T).max(1)
-        grams[start : start + 256] = block.sum(1)
-    model.least = least_cosines(reached, grams)
-    return model
 
+    def reached(every):
+        best, grams = np.zeros(len(every), np.float32), np.zeros(len(every))
+        for start in range(0, len(every), 256):
+            block = _dense(every[start : start + 256])
+            best[start : start + 256] = (model.vectors(block) @ model.centroids.T).max(1)
+            grams[start : start + 256] = block.sum(1)
+        return best, grams
+
+    model.least = least_cosines(*reached(counts + (cuts or [])), *reached(noise or []))
+    return model
 
-def least_cosines(reached: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    """The least cosine of every length class, from the training texts of the class.
 
-    A class with too few texts takes the next shorter one's; those shorter than any that has enough
-    get half of what the shortest such class asks for. Without such a class all are judged alike.
-    """
+def _by_class(reached: np.ndarray, grams: np.ndarray) -> list[np.ndarray]:
+    """Sorted cosines of every length class, or of the next shorter one that has enough, or of the shortest that has, or of all."""
     classes = np.array([_length_class(n) for n in grams], int)
-    least = np.full(32, SHARE * np.sort(reached)[len(reached) // ONE_IN])
     known = [k for k in range(32) if (classes == k).sum() >= ENOUGH]
+    out = []
     for k in range(32):
-        shorter = [c for c in known if c <= k]
-        if known:
-            own = np.sort(reached[classes == (shorter[-1] if shorter else known[0])])
-            least[k] = SHARE * own[len(own) // ONE_IN] * (1.0 if shorter else 0.5)
+        use = [c for c in known if c <= k][-1:] or known[:1]
+        out.append(np.sort(reached[classes == use[0]] if use else reached))
+    return out
+
+
+def least_cosines(reached: np.ndarray, grams: np.ndarray, noise: np.ndarray, noise_grams: np.ndarray) -> np.ndarray:
+    """The least cosine of every length class, from the texts and the noise of the class."""
+    least = np.zeros(32)
+    for k, (own, junk) in enumerate(zip(_by_class(reached, grams), _by_class(noise, noise_grams), strict=True)):
+        low = float(own[len(own) // ONE_IN]) if len(own) else 0.0
+        if not len(junk):
+            least[k] = OTHER * low
+            continue
+        one_in = ONE_IN if 1 << k >= LONG else 10
+        other = OTHER if 1 << k >= SHORT else OTHER_SHORT
+        least[k] = min(other * low, float(junk[len(junk) - 1 - len(junk) // one_in]))
     return least
 
 
