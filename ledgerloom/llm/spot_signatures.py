@@ -11,12 +11,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import math
-import os
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -135,57 +133,45 @@ def spot_pairs(
     return checked.select("class_a", "class_b", "similarity"), members
 
 
-def _order(rows: DataFrame) -> Column:
-    """A double that never grows where the id falls: ranges are cut by it, rows are sorted by the id itself.
+def range_cuts(rows: DataFrame, partitions: int) -> list:
+    """Ids of the table, falling, that part it into about equal ranges; fewer where there are fewer ids.
 
-    Texts and bytes count by six bytes after what all of them begin with; other types by their value.
+    They are taken at even steps of a sample drawn by a hash of the id, 50 for each range.
     """
-    kind = rows.schema["__id"].dataType.typeName()
-    if kind in ("string", "binary"):
-        ends = rows.agg(F.min(F.col("__id").cast("binary")).alias("lo"), F.max(F.col("__id").cast("binary")).alias("hi")).first()
-        common = len(os.path.commonprefix([bytes(ends["lo"] or b""), bytes(ends["hi"] or b"")]))
-        six = F.rpad(F.hex(F.substring(F.col("__id").cast("binary"), common + 1, 6)), 12, "0")
-        number = F.conv(six, 16, 10).cast("double")
-    elif kind == "date":
-        number = F.unix_date("__id").cast("double")
-    else:
-        number = F.col("__id").cast("double")
-    return F.coalesce(-F.nanvl(number, F.lit(1e308)), F.lit(1e308))
+    ids = rows.where("__id is not null").select("__id")
+    drawn = ids.orderBy(F.xxhash64("__id"), "__id").limit(50 * partitions).agg(F.sort_array(F.collect_set("__id"), asc=False).alias("s")).first()["s"]
+    at = sorted({len(drawn) * i // partitions for i in range(1, partitions)} - {0})
+    return [drawn[i] for i in at if i < len(drawn)]
+
+
+def _range_of(cuts: list) -> Column:
+    """Number of cuts that aren't below the id, by binary search; null ids are in the last range."""
+    if not cuts:
+        return F.lit(0)
+    held, steps = F.array(*map(F.lit, cuts)), [1 << k for k in reversed(range(len(cuts).bit_length()))]
+    step = lambda acc, s: F.when((acc + s <= len(cuts)) & (F.get(held, acc + s - 1) >= F.col("__id")), acc + s).otherwise(acc)
+    return F.when(F.col("__id").isNull(), F.lit(len(cuts))).otherwise(F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), step))
 
 
 def with_next(df: DataFrame, text_col: str, id_col: str, partitions: int | None = None) -> DataFrame:
-    """Rows dealt over ranges of descending id, each range closed by the first rows of the one after it.
+    """Rows dealt over ranges of descending id, each range closed by the first row of the one after it.
 
-    Returns __guest (true for rows lent to the range before theirs), __id, __text; sorted in each
-    partition by the id itself, of any type that can be ordered. Null ids come last. The last range
-    gets the first rows of all.
+    Returns __guest (true for the row lent by the next range), __id, __text; sorted in each partition
+    by the id itself, of any type that can be ordered. Null ids come last. The last range gets the
+    first row of all. Every range but the first starts at an id that is a cut, so its first row is found
+    by one aggregate over the rows of those ids, and one row a range is lent.
     """
     spark = df.sparkSession
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
-    rows = rows.withColumn("__order", _order(rows))
-    steps = [i / partitions for i in range(partitions + 1)]
-    # Existing values at even steps; every range starts at one of them.
-    told = rows.agg(F.percentile_approx("__order", steps, 100 * partitions).alias("cuts"), F.min("__order").alias("lowest")).first()
-    lowest = told["lowest"]
-    cuts = sorted({c for c in told["cuts"] or [] if c > lowest})
-    if len(cuts):
-        ranges = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="__order", outputCol="__bucket")
-        rows = ranges.transform(rows).withColumn("__part", F.col("__bucket").cast("int"))
-    else:
-        rows = rows.withColumn("__part", F.lit(0))
-    lent = (
-        F.when(F.col("__order") == F.lit(lowest), F.lit(len(cuts)))
-        .when(F.col("__order").isin(cuts), F.col("__part") - 1)
-    )
-    copies = F.array_compact(
-        F.array(
-            F.struct(F.col("__part"), F.lit(False).alias("__guest")),
-            F.when(lent.isNotNull(), F.struct(lent.alias("__part"), F.lit(True).alias("__guest"))),
-        )
-    )
-    dealt = rows.select("__id", "__text", F.inline(copies).alias("__to", "__guest"))
-    dealt = dealt.repartitionById(len(cuts) + 1, F.col("__to"))
+    cuts = range_cuts(rows, partitions)
+    top = rows.agg(F.max("__id")).first()[0]
+    rows = rows.withColumn("__part", _range_of(cuts))
+    first = F.col("__id").isNull() if top is None else F.col("__id").isin([top, *cuts])
+    least = rows.where(first).groupBy("__id", "__part").agg(F.min(F.struct(F.xxhash64("__text").alias("h"), F.col("__text").alias("t"))).alias("f"))
+    to = F.col("__part") - 1 if top is None else F.when(F.col("__id") == F.lit(top), F.lit(len(cuts))).otherwise(F.col("__part") - 1)
+    lent = least.select("__id", F.col("f.t").alias("__text"), (F.lit(0) if top is None else to).alias("__part"), F.lit(True).alias("__guest"))
+    dealt = rows.withColumn("__guest", F.lit(False)).unionByName(lent).repartitionById(len(cuts) + 1, F.col("__part"))
     return dealt.sortWithinPartitions("__guest", F.col("__id").desc_nulls_last(), F.xxhash64("__text"), "__text").select("__guest", "__id", "__text")
 
 
