@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from .common import bound_batches, free_name, read_table, schema_with, words_of
 
 WINDOW = 10
-# Words of all benchmark texts, so at most as many windows, up to which the index of the windows is sent
-# to every task. Measured for 205 000 windows: 14 MB pickled, 0.17 GB in a worker with its pickled form.
-BROADCAST_WORDS = 250_000
+# Words and bytes of all benchmark texts, so at most as many windows, up to which the index of the windows is
+# sent to every task. Measured for 205 000 windows: 14 MB pickled, 0.17 GB in a worker with its pickled form.
+BROADCAST_WORDS, BROADCAST_BYTES = 250_000, 16 << 20
 
 _RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 _LETTER = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -101,14 +101,16 @@ def contamination(
     keep=True returns all columns of df and __contaminated instead, for filtering. Null texts have
     no words; null items and items without words have no windows; repeated rows and items are judged
     each; equal item ids count once. Empty tables are fine on either side. Only the named columns are
-    interpreted. A benchmark of at most broadcast_words words is sent to all tasks; a larger one is joined.
+    interpreted. Very long texts are searched whole, one at a time. A benchmark of at most broadcast_words
+    words and BROADCAST_BYTES bytes is sent to all tasks; a larger one is joined.
     """
     bound_batches(df.sparkSession)
     items = benchmark.select(
         F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).cast("string").alias("body")
     ).where("body is not null")
-    size = items.agg(F.sum(F.size(_words("body")))).first()[0] or 0
-    if size > broadcast_words:
+    items = items.where(F.size(_words("body")) > 0)
+    size = items.agg(F.sum(F.size(_words("body"))).alias("words"), F.sum(F.octet_length("body") + F.octet_length("item")).alias("bytes")).first()
+    if (size["words"] or 0) > broadcast_words or (size["bytes"] or 0) > BROADCAST_BYTES:
         return _joined(df, items, text_col, id_col, window, keep)
     held = [(r["item"], words_of(r["body"])) for r in items.collect()]
     rows = df.select(F.col(text_col).cast("string").alias("__text"))
