@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scales import DOMAINS, SEVERITIES, UNIT_KINDS, label_of
+from ledgerloom.operators.ranges import cut_to_shown
 from ledgerloom.sources.views import batches, edges, findings, lines, spans, steps, table, units, with_views
 
 FACT_EVIDENCE = 25
@@ -97,25 +98,20 @@ def clamped_verdicts(rows: DataFrame) -> DataFrame:
     return rows.select("id", "title", label_of(F.greatest("sev", ceiling), SEVERITIES).alias("severity"), F.substring("title", 1, 8).alias("short"))
 
 
-def shown_citations(rows: DataFrame, shown: DataFrame) -> DataFrame:
-    """Citations inside a shown range of their file; the end is cut to the range's end."""
-    hit = rows.join(shown, "file").where("a between start and stop")
-    return hit.groupBy("file", "span").agg(F.max(F.least("b", "stop")).alias("end"))
-
-
 def strays(verdicts: DataFrame, members: DataFrame) -> DataFrame:
     """Verdicts on units that aren't in the batch, counted by run."""
     return verdicts.join(members, "unit_id", "left_anti").groupBy("run").agg(F.count("*").alias("strays"))
 
 
-def router_prefixes(spark, edges_: DataFrame, depth: int = 8) -> DataFrame:
-    """Path prefix of each router from its chain of parents, at most eight deep."""
-    edges_.createOrReplaceTempView("__routers")
-    return spark.sql(f"""
-      WITH RECURSIVE up(child, node, depth, prefix) AS (
-        SELECT child, parent, 1, '/' || CAST(child AS STRING) FROM __routers
-        UNION ALL SELECT u.child, e.parent, u.depth + 1, '/' || CAST(e.child AS STRING) || u.prefix FROM up u JOIN __routers e ON e.child = u.node WHERE u.depth < {depth})
-      SELECT child, max_by(prefix, depth) AS prefix FROM up GROUP BY child""")
+def router_prefixes(edges_: DataFrame, doublings: int = 3) -> DataFrame:
+    """Path prefix of each router from its chain of parents, at most eight deep: chains of one step are joined to ones of two, four and eight."""
+    known = edges_.select(F.col("child").alias("parent")).distinct()
+    step = edges_.join(known.withColumn("there", F.lit(True)), "parent", "left")
+    chain = step.select("child", F.when(F.col("there"), F.col("parent")).alias("above"), F.concat(F.lit("/"), F.col("child").cast("string")).alias("prefix"))
+    for _ in range(doublings):
+        upper = chain.select(F.col("child").alias("above"), F.col("above").alias("next"), F.col("prefix").alias("p"))
+        chain = chain.join(upper, "above", "left").select("child", F.col("next").alias("above"), F.concat(F.coalesce("p", F.lit("")), "prefix").alias("prefix"))
+    return chain.select("child", "prefix")
 
 
 def unlocked(declared: DataFrame, locked: DataFrame) -> DataFrame:
@@ -180,7 +176,7 @@ def facts_of(s, d) -> DataFrame:
 
 def _cited(s, d):
     sp = spans(s, d)
-    return shown_citations(sp.where("inner").select("file", "span", F.col("start").alias("a"), F.col("stop").alias("b")), sp.where("not inner").select("file", "start", "stop"))
+    return cut_to_shown(sp.where("inner").select("file", "span", F.col("start").alias("a"), F.col("stop").alias("b")), sp.where("not inner").select("file", "start", "stop"))
 
 
 QUERIES = {
@@ -197,7 +193,7 @@ QUERIES = {
     "prj51_verdict_clamp": lambda s, d: clamped_verdicts(findings(s, d)),
     "flt06_slice_gate": _cited,
     "join08_strays": lambda s, d: strays(units(s, d), units(s, d).where("unit_id % 4 <> 0").select("unit_id")),
-    "join17_router_prefixes": lambda s, d: router_prefixes(s, edges(s, d)),
+    "join17_router_prefixes": lambda s, d: router_prefixes(edges(s, d)),
     "join21_unlocked": lambda s, d: unlocked(table(s, d, "part").select("p_partkey"), table(s, d, "lineitem").select(F.col("l_partkey").alias("p_partkey")).where("p_partkey % 3 <> 0").distinct()),
     "join23_unindexed": lambda s, d: unindexed(units(s, d), "status = 'F' and line % 7 = 0"),
     "exe10_prompt_fit": lambda s, d: prompt_fit(lines(s, d)),

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.lineage import written
 from ledgerloom.functions.scales import DOMAINS
+from ledgerloom.operators.ranges import held_points, innermost, without_inner
 from ledgerloom.sources.views import batches, edges, findings, lines, spans, table, triage, units, with_int, with_views
 
 
@@ -35,10 +37,9 @@ def mismatches(reported: DataFrame, rows: DataFrame, key: str, columns: list[str
 
 def innermost_host(rows: DataFrame) -> DataFrame:
     """The narrowest host span of the same file around each inner span; a tie goes to the least id."""
-    inner = rows.where("inner").select("file", F.col("span").alias("inner_span"), F.col("start").alias("a"), F.col("stop").alias("b"))
-    host = rows.where("not inner").select("file", "span", "start", "stop")
-    hit = inner.join(host, "file").where("start <= a and stop >= b")
-    return hit.groupBy("file", "inner_span").agg(F.min_by("span", F.struct(F.col("stop") - F.col("start"), "span")).alias("host"))
+    inner = rows.where("inner").select("file", F.col("span").alias("query"), F.col("start").alias("a"), F.col("stop").alias("b"))
+    found = innermost(inner, rows.where("not inner")).where("span is not null")
+    return found.groupBy("file", F.col("query").alias("inner_span")).agg(F.min_by("span", F.struct("width", "span")).alias("host"))
 
 
 def outermost_only(rows: DataFrame) -> DataFrame:
@@ -47,13 +48,6 @@ def outermost_only(rows: DataFrame) -> DataFrame:
     return rows.withColumn("reach", F.max("stop").over(order)).where("reach is null or reach < stop").select("file", "span", "start", "stop")
 
 
-def without_containers(rows: DataFrame) -> DataFrame:
-    """Spans that contain no other span of their file."""
-    other = rows.select("file", F.col("span").alias("o"), F.col("start").alias("a"), F.col("stop").alias("b"))
-    same = (rows["file"] == other["file"]) & (rows["start"] <= other["a"]) & (rows["stop"] >= other["b"]) & (rows["span"] != other["o"])
-    return rows.join(other, same, "left_anti").select("file", "span", "start", "stop")
-
-
 def merged_ranges(rows: DataFrame, gap: int = 1) -> DataFrame:
     """Ranges of a file that overlap or touch become one."""
     order = Window.partitionBy("file").orderBy("start", "stop", "span")
@@ -62,12 +56,6 @@ def merged_ranges(rows: DataFrame, gap: int = 1) -> DataFrame:
     return island.groupBy("file", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.count("*").alias("ranges")).drop("island")
 
 
-def points_in_ranges(points: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Points with the number of ranges of their file that hold them; points outside all are kept."""
-    hit = points.join(ranges.select("file", "span", "start", "stop"), "file", "left").groupBy("file", "point")
-    return hit.agg(F.count_if((F.col("start") <= F.col("point")) & (F.col("stop") >= F.col("point"))).alias("held_by"))
-
-
 def asof_backward(rows: DataFrame, anchors: DataFrame, by: str, at: str, value: str) -> DataFrame:
     """The last anchor at or before each row, by one union and a running last value."""
     both = rows.select(by, at, F.lit(1).alias("side"), F.col("key"), F.lit(None).alias("v")).unionByName(
@@ -77,17 +65,23 @@ def asof_backward(rows: DataFrame, anchors: DataFrame, by: str, at: str, value:
     return both.withColumn("found", F.last("v", ignorenulls=True).over(order)).where("side = 1").select(by, "key", at, F.col("found").alias(value))
 
 
-def shortest_paths(spark, edges_: DataFrame, roots: str, depth: int = 24) -> DataFrame:
-    """Path from every node up to the first ancestor that satisfies roots, by a recursive query."""
-    edges_.createOrReplaceTempView("__edges")
-    found = spark.sql(f"""
-      WITH RECURSIVE walk(child, node, depth, path) AS (
-        SELECT child, child, 0, CAST(child AS STRING) FROM __edges
-        UNION ALL
-        SELECT w.child, e.parent, w.depth + 1, w.path || '>' || CAST(e.parent AS STRING)
-        FROM walk w JOIN __edges e ON e.child = w.node WHERE w.depth < {depth} AND e.parent > 0 AND NOT ({roots})
-      ) SELECT child, node, depth, path FROM walk w WHERE {roots}""")
-    return found.groupBy("child").agg(F.min_by(F.struct("node", "depth", "path"), "depth").alias("p")).select("child", F.col("p.node").alias("root"), "p.depth", "p.path")
+def shortest_paths(edges_: DataFrame, roots: str, depth: int = 24, follow: str = "true") -> DataFrame:
+    """Shortest path from every node up to an ancestor that satisfies roots (a condition on child): found downwards from the roots.
+
+    A step reaches the children of the last step's nodes that no earlier step has reached, so every
+    edge (that follow allows) is followed once and cycles end; of equally short paths the least text is kept.
+    """
+    frontier = edges_.where(roots).select("child", F.col("child").alias("root"), F.lit(0).alias("depth"), F.col("child").cast("string").alias("path")).distinct()
+    seen = frontier = written(frontier)
+    for d in range(1, depth + 1):
+        up = frontier.select(F.col("child").alias("parent"), "root", "path")
+        below = edges_.where(follow).select("child", "parent").join(up, "parent").select("child", F.struct(F.concat_ws(">", F.col("child").cast("string"), "path").alias("path"), "root").alias("p"))
+        reached = below.groupBy("child").agg(F.min("p").alias("p")).join(seen.select("child"), "child", "left_anti")
+        frontier = written(reached.select("child", F.col("p.root").alias("root"), F.lit(d).alias("depth"), F.col("p.path").alias("path")))
+        if frontier.isEmpty():
+            break
+        seen = seen.union(frontier)
+    return seen
 
 
 def endpoint_matrix(rows: DataFrame, checks: list[str]) -> DataFrame:
@@ -144,7 +138,7 @@ def _mismatch(s, d):
 
 
 def _points(s, d):
-    return points_in_ranges(spans(s, d).select("file", F.col("start").alias("point")).distinct(), spans(s, d).where("not inner"))
+    return held_points(spans(s, d).select("file", F.col("start").alias("point")).distinct(), spans(s, d).where("not inner"))
 
 
 def _asof(s, d):
@@ -172,11 +166,11 @@ QUERIES = {
     "join04_mismatches": _mismatch,
     "join05_innermost_host": lambda s, d: innermost_host(spans(s, d)),
     "win08_outermost_only": lambda s, d: outermost_only(spans(s, d)),
-    "join30_without_containers": lambda s, d: without_containers(spans(s, d)),
+    "join30_without_containers": lambda s, d: without_inner(spans(s, d)),
     "win11_merged_ranges": lambda s, d: merged_ranges(spans(s, d)),
     "join07_points_in_ranges": _points,
     "join29_asof": _asof,
-    "join16_shortest_path": lambda s, d: shortest_paths(s, edges(s, d), "w.node % 7 = 0"),
+    "join16_shortest_path": lambda s, d: shortest_paths(edges(s, d), "child % 7 = 0", follow="parent > 0"),
     "join15_endpoint_matrix": lambda s, d: endpoint_matrix(_answers(s, d), _CHECKS),
     "agg43_matrix_summary": lambda s, d: matrix_summary(endpoint_matrix(_answers(s, d), _CHECKS)),
     # The SQL twin asks for the units of these runs only; without the predicate the operator gives those of all.

@@ -14,6 +14,7 @@ MODULES: list[str] = [
     "ledgerloom.operators.joins",
     "ledgerloom.operators.risk",
     "ledgerloom.operators.windows",
+    "ledgerloom.operators.ranges",
     "ledgerloom.operators.grading",
     "ledgerloom.operators.scalars",
     "ledgerloom.operators.workflows",
