@@ -120,5 +120,5 @@ def _around(s, d):
 QUERIES = {"win17_innermost_block": _blocks, "join06_innermost_containing": _around}
 ORACLES = {
     "win17_innermost_block": with_views("SELECT p.file, p.point, arg_min(span, (stop - start)::HUGEINT * 1000000000 + span) AS span, CAST(count(span) AS INTEGER) AS depth FROM (SELECT DISTINCT file, stop AS point FROM v_span) p LEFT JOIN v_span s ON s.file = p.file AND s.start <= point AND s.stop >= point GROUP BY ALL", "v_span"),
-    "join06_innermost_containing": with_views("SELECT q.file, q.span AS inner_span, arg_min(s.span, (s.stop - s.start)::HUGEINT * 1000000000 + s.span) AS span, CAST(count(s.span) AS INTEGER) AS depth FROM (SELECT * FROM v_span WHERE NOT inner_ AND start + 2 <= stop - 2) q JOIN (SELECT * FROM v_span WHERE NOT inner_) s ON s.file = q.file WHERE s.start <= q.start + 2 AND s.stop >= q.stop - 2 GROUP BY q.file, q.span, q.start, q.stop", "v_span"),
+    "join06_innermost_containing": with_views("SELECT q.file, q.span AS inner_span, arg_min(s.span, (s.stop - s.start)::HUGEINT * 1000000000 + s.span) AS span, CAST(count(s.span) AS INTEGER) AS depth FROM (SELECT DISTINCT file, span, start, stop FROM v_span WHERE NOT inner_ AND start + 2 <= stop - 2) q JOIN (SELECT * FROM v_span WHERE NOT inner_) s ON s.file = q.file WHERE s.start <= q.start + 2 AND s.stop >= q.stop - 2 GROUP BY q.file, q.span, q.start, q.stop", "v_span"),
 }

@@ -18,24 +18,8 @@ def within_budget(rows: DataFrame, most_batches: int = 40, most_units: int = 300
     return rows.withColumn("ok", F.min(fits.cast("int")).over(before)).where("ok = 1").select("run", "batch", "place", "total")
 
 
-def greedy_batches(rows: DataFrame, most: int = 100, most_rows: int = 30) -> DataFrame:
-    """Rows of a run in order fill batches of at most `most` size and most_rows rows; a larger row is alone."""
-    items = rows.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("batch", "units"))).alias("items"))
-    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("rows"), F.array().cast("array<struct<batch:bigint,pack:bigint>>").alias("out"))
-
-    def step(acc, x):
-        full = (acc["rows"] > 0) & ((acc["size"] + x["units"] > most) | (acc["rows"] >= most_rows))
-        n = F.when(full, acc["n"] + 1).otherwise(acc["n"])
-        return F.struct(
-            n.alias("n"), (F.when(full, F.lit(0)).otherwise(acc["size"]) + x["units"]).alias("size"), (F.when(full, F.lit(0)).otherwise(acc["rows"]) + 1).alias("rows"),
-            F.concat(acc["out"], F.array(F.struct(x["batch"].alias("batch"), n.alias("pack")))).alias("out"),
-        )
-
-    return items.select("run", F.inline(F.aggregate("items", zero, step)["out"]))
-
-
 def progress(rows: DataFrame, fan_out: int = 2, least: int = 4) -> DataFrame:
-    """Running counts and estimated seconds left of a run after each batch; none before four samples.
+    """Running counts and estimated seconds left of a run after each batch; none before four samples, or as many as run at once.
 
     Durations are summed in whole milliseconds, so the mean doesn't depend on the order of addition.
     """
@@ -43,7 +27,7 @@ def progress(rows: DataFrame, fan_out: int = 2, least: int = 4) -> DataFrame:
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({"done": F.count("*").over(upto), "failed": F.count_if(F.col("status") == "failed").over(upto), "spent": F.sum(F.floor(F.col("duration") * 1000 + 0.5)).over(upto), "total": F.count("*").over(Window.partitionBy("run"))})
     left = F.ceil((F.col("total") - F.col("done")) / fan_out)
-    return rows.select("run", "batch", "done", "failed", F.when(F.col("done") >= least, round_half_up((F.col("spent") * left).cast("double") / (F.col("done") * 1000), 1)).alias("eta"))
+    return rows.select("run", "batch", "done", "failed", F.when(F.col("done") >= max(least, fan_out), round_half_up((F.col("spent") * left).cast("double") / (F.col("done") * 1000), 1)).alias("eta"))
 
 
 def entry_ends(rows: DataFrame) -> DataFrame:
@@ -99,7 +83,6 @@ def latest_reply(rows: DataFrame) -> DataFrame:
 
 QUERIES = {
     "win06_budget_prefix": lambda s, d: within_budget(batches(s, d)),
-    "win07_greedy_batches": lambda s, d: greedy_batches(batches(s, d)),
     "win14_progress": lambda s, d: progress(batches(s, d)),
     "win13_entry_ends": lambda s, d: entry_ends(lines(s, d)),
     "win18_first_claims": lambda s, d: first_claims(units(s, d)),
@@ -112,9 +95,6 @@ QUERIES = {
 }
 ORACLES = {
     "win06_budget_prefix": with_views("SELECT run, batch, place, total FROM (SELECT *, min(CASE WHEN place <= 40 AND (total <= 300 OR place = 1) THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY place) AS ok FROM (SELECT *, row_number() OVER w AS place, CAST(sum(units) OVER w AS BIGINT) AS total FROM v_batch WINDOW w AS (PARTITION BY run ORDER BY duration DESC, batch ROWS UNBOUNDED PRECEDING))) WHERE ok = 1", "v_batch"),
-    "win07_greedy_batches": with_views("SELECT run, batch, pack FROM walk", "v_batch", recursive=True, **{
-        "o": "SELECT run, batch, units, row_number() OVER (PARTITION BY run ORDER BY batch) AS k FROM v_batch",
-        "walk(run, batch, k, pack, size, n)": "SELECT run, batch, k, 0::BIGINT, units, 1::BIGINT FROM o WHERE k = 1 UNION ALL SELECT o.run, o.batch, o.k, CASE WHEN w.size + o.units > 100 OR w.n >= 30 THEN w.pack + 1 ELSE w.pack END, CASE WHEN w.size + o.units > 100 OR w.n >= 30 THEN o.units ELSE w.size + o.units END, CASE WHEN w.size + o.units > 100 OR w.n >= 30 THEN 1 ELSE w.n + 1 END FROM walk w JOIN o ON o.run = w.run AND o.k = w.k + 1"}),
     "win14_progress": with_views("SELECT run, batch, done, failed, CASE WHEN done >= 4 THEN floor(spent * CAST(ceil((total - done) / 2) AS BIGINT) / (done * 1000) * 10 + 0.5) / 10 END AS eta FROM (SELECT *, count(*) OVER w AS done, count(*) FILTER (status = 'failed') OVER w AS failed, CAST(sum(CAST(floor(duration * 1000 + 0.5) AS BIGINT)) OVER w AS BIGINT) AS spent, count(*) OVER (PARTITION BY run) AS total FROM v_batch WINDOW w AS (PARTITION BY run ORDER BY \"at\", batch ROWS UNBOUNDED PRECEDING))", "v_batch"),
     "win13_entry_ends": with_views("SELECT doc_id, line_no AS start, coalesce(lead(line_no) OVER (PARTITION BY doc_id ORDER BY line_no) - 1, last) AS stop FROM (SELECT * FROM v_line WHERE regexp_matches(line, '^[A-ZÀ-Ý]')) JOIN (SELECT doc_id, max(line_no) AS last FROM v_line GROUP BY doc_id) USING (doc_id)", "v_line"),
     "win18_first_claims": with_views("SELECT unit_id, min(unit_id) OVER p AS claimed_by, unit_id = min(unit_id) OVER p AS kept FROM v_unit WINDOW p AS (PARTITION BY file, line, kind)", "v_unit"),

@@ -15,6 +15,7 @@ MODULES: list[str] = [
     "ledgerloom.operators.risk",
     "ledgerloom.operators.windows",
     "ledgerloom.operators.ranges",
+    "ledgerloom.operators.planning",
     "ledgerloom.operators.grading",
     "ledgerloom.operators.scalars",
     "ledgerloom.operators.workflows",
