@@ -16,6 +16,7 @@ MODULES: list[str] = [
     "ledgerloom.operators.windows",
     "ledgerloom.operators.ranges",
     "ledgerloom.operators.planning",
+    "ledgerloom.operators.detectors",
     "ledgerloom.operators.grading",
     "ledgerloom.operators.scalars",
     "ledgerloom.operators.workflows",
@@ -26,6 +27,7 @@ MODULES: list[str] = [
     "ledgerloom.operators.facts",
     "ledgerloom.operators.selections",
     "ledgerloom.sources.readers",
+    "ledgerloom.sources.tolerant",
     "ledgerloom.streaming.progress",
 ]
 
