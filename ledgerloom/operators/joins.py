@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.lineage import written
@@ -65,13 +65,14 @@ def asof_backward(rows: DataFrame, anchors: DataFrame, by: str, at: str, value:
     return both.withColumn("found", F.last("v", ignorenulls=True).over(order)).where("side = 1").select(by, "key", at, F.col("found").alias(value))
 
 
-def shortest_paths(edges_: DataFrame, roots: str, depth: int = 24, follow: str = "true") -> DataFrame:
-    """Shortest path from every node up to an ancestor that satisfies roots (a condition on child): found downwards from the roots.
+def shortest_paths(spark: SparkSession, edges_: DataFrame, roots: str, depth: int = 24, follow: str = "true") -> DataFrame:
+    """Shortest path from every node up to an ancestor that satisfies roots (a condition on w.node): found downwards from the roots.
 
     A step reaches the children of the last step's nodes that no earlier step has reached, so every
     edge (that follow allows) is followed once and cycles end; of equally short paths the least text is kept.
     """
-    frontier = edges_.where(roots).select("child", F.col("child").alias("root"), F.lit(0).alias("depth"), F.col("child").cast("string").alias("path")).distinct()
+    nodes = edges_.select("child", F.col("child").alias("node")).alias("w")
+    frontier = nodes.where(roots).select("child", F.col("child").alias("root"), F.lit(0).alias("depth"), F.col("child").cast("string").alias("path")).distinct()
     seen = frontier = written(frontier)
     for d in range(1, depth + 1):
         up = frontier.select(F.col("child").alias("parent"), "root", "path")
@@ -170,7 +171,7 @@ QUERIES = {
     "win11_merged_ranges": lambda s, d: merged_ranges(spans(s, d)),
     "join07_points_in_ranges": _points,
     "join29_asof": _asof,
-    "join16_shortest_path": lambda s, d: shortest_paths(edges(s, d), "child % 7 = 0", follow="parent > 0"),
+    "join16_shortest_path": lambda s, d: shortest_paths(s, edges(s, d), "w.node % 7 = 0", follow="parent > 0"),
     "join15_endpoint_matrix": lambda s, d: endpoint_matrix(_answers(s, d), _CHECKS),
     "agg43_matrix_summary": lambda s, d: matrix_summary(endpoint_matrix(_answers(s, d), _CHECKS)),
     # The SQL twin asks for the units of these runs only; without the predicate the operator gives those of all.

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scales import round_half_up
+from ledgerloom.operators.planning import packed
 from ledgerloom.sources.views import batches, lines, table, units, with_int, with_views
 
 
@@ -18,6 +19,11 @@ def within_budget(rows: DataFrame, most_batches: int = 40, most_units: int = 300
     return rows.withColumn("ok", F.min(fits.cast("int")).over(before)).where("ok = 1").select("run", "batch", "place", "total")
 
 
+def greedy_batches(rows: DataFrame, most: int = 100, most_rows: int = 30) -> DataFrame:
+    """Rows of a run in order fill batches of at most `most` size and most_rows rows; a larger row is alone."""
+    return packed(rows.select("run", "batch", "units"), ["run"], ["batch"], "units", most, most_rows).select("run", "batch", "pack")
+
+
 def progress(rows: DataFrame, fan_out: int = 2, least: int = 4) -> DataFrame:
     """Running counts and estimated seconds left of a run after each batch; none before four samples, or as many as run at once.
 

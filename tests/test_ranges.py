@@ -47,7 +47,7 @@ def test_held_points_without_inner_and_cuts_equal_brute_force(spark):
 
 def test_shortest_paths_end_in_cycles_and_take_the_shortest(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (1, 4), (4, 9), (5, 4), (5, 9), (6, 7), (7, 6), (9, 9)], "child int, parent int")
-    found = {r["child"]: (r["root"], r["depth"], r["path"]) for r in joins.shortest_paths(edges, "child = 9").collect()}
+    found = {r["child"]: (r["root"], r["depth"], r["path"]) for r in joins.shortest_paths(spark, edges, "w.node = 9").collect()}
     assert found == {9: (9, 0, "9"), 4: (9, 1, "4>9"), 5: (9, 1, "5>9"), 1: (9, 2, "1>4>9"), 3: (9, 3, "3>1>4>9"), 2: (9, 4, "2>3>1>4>9")}
 
 
