@@ -34,8 +34,8 @@ OTHER_SHORT, OTHER = 1 / 3, 0.4
 # A length class of fewer texts takes the next shorter one's threshold.
 ENOUGH = 20
 CUTS = tuple(2 << k for k in range(10))
-# A single letter is no text of any language.
-LEAST_LETTERS = 2
+# Noise is also made of whole training texts, up to this many characters.
+NOISE_MOST = 1 << 16
 UNKNOWN = "und"
 
 _PIECE = 1 << 20
@@ -130,8 +130,7 @@ class CentroidModel:
                 else:
                     langs.append(self.languages[self.of[best[i]]])
                     scores.append(float(value[i]))
-                    few = len(text) < 64 and sum(map(str.isalpha, text)) < LEAST_LETTERS
-                    rejected.append(few or bool(value[i] < self.least[_length_class(counts[i].sum())]))
+                    rejected.append(bool(value[i] < self.least[_length_class(counts[i].sum())]))
         return langs, scores, rejected
 
 
@@ -196,7 +195,7 @@ def fit_centroids(
                 if not has_letter(text):
                     continue
                 cuts = short_cuts(text)
-                whole = text[: CUTS[-1]]
+                whole = text[:NOISE_MOST]
                 for given, role in ((text, 0), *((c, 1) for c in cuts), *((noise_like(c), 2) for c in (*cuts, whole))):
                     if has_letter(given):
                         counts = ngram_counts(given)
