@@ -23,8 +23,8 @@ from ledgerloom.llm.pii import mask_pii
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
-# No stage but the third can be expressed in SQL: each stage, and run() as a whole, is tested against a
-# plain version on small tables.
+# No stage but the third can be expressed in SQL: the stages are tested against plain versions on small
+# tables, packing by its invariants, and run() by what comes out of the chained stages.
 ORACLE_SQL = None
 
 
