@@ -14,9 +14,13 @@ MASK = "********"
 
 
 def secrets(rows: DataFrame) -> DataFrame:
-    """Secret assignments in lines with entropy, shape, role and grade, and the line with the value masked wherever it stands."""
+    """Secret assignments in lines with entropy, shape, role and grade, and the line with the value masked wherever it stands.
+
+    The shape goes by the entropy as it is shown, rounded to three places.
+    """
     hit = rows.select("doc_id", "line_no", "line", F.regexp_extract("line", _SECRET, 1).alias("name"), F.regexp_extract("line", _SECRET, 2).alias("value")).where("value <> ''")
-    hit = hit.withColumns({"bits": F.floor(entropy(F.col("value")) * 1000 + 0.5) / 1000, "shape": secret_value_shape(F.col("value")), "role": secret_name_role(F.col("name"))})
+    hit = hit.withColumn("bits", F.floor(entropy(F.col("value")) * 1000 + 0.5) / 1000)
+    hit = hit.withColumns({"shape": secret_value_shape(F.col("value"), F.col("bits")), "role": secret_name_role(F.col("name"))})
     grade = F.when(F.col("shape") != "credible", "info").when(F.col("role") == "identifier", "low").otherwise("high")
     masked = F.replace("line", F.col("value"), F.lit(MASK))
     return hit.select("doc_id", "line_no", "name", "bits", "shape", "role", grade.alias("severity"), masked.alias("masked"))

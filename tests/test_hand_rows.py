@@ -1,11 +1,12 @@
 """Operators on rows written by hand, with the answers that the rules give."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scales import DOMAINS, SEVERITIES, label_of
 from ledgerloom.functions.text import version_gap
-from ledgerloom.operators import grading, risk, scalars, scoring, workflows
+from ledgerloom.operators import grading, risk, scalars, scoring, texts, workflows
 
 
 def judged(spark, cases, of):
@@ -63,6 +64,22 @@ CALLERS = [
 ]
 
 
+def test_secrets_of_lines_equal_sql(spark, tmp_path):
+    # Values of one part, of few letters, of digits, and one whose entropy is 3 only when rounded.
+    even = "".join(c * 20 for c in "abcdef0") + "1" * 20
+    near = even.replace("a" * 20, "a" * 21).replace("b" * 20, "b" * 19)
+    values = ["0123456789abcdef0123", "a1" * 12, "1234567890" * 3, even, near, "abc", "0f" * 9 + "1"]
+    text = "\n".join(f'say {name} = "{v}" and "{v}" twice' for v in values for name in ("api_token", "client_id", "colour"))
+    path = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame([(1, text), (2, ""), (3, None), (4, f'x\r\nthe_key = "{values[0]}"')], "doc_id long, text string").write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    rows = texts.QUERIES["prj14_secrets"](spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(rows.columns)} FROM ({texts.ORACLES['prj14_secrets']})").fetchall()
+    assert sorted(map(tuple, rows.collect())) == sorted(want) and len(want) == 16
+    assert {r[4] for r in want} == {"credible", "trivial"}
+
+
 def test_expressions_that_hold_the_caller(spark):
     assert judged(spark, CALLERS, scalars.reads_caller) == CALLERS
 
