@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -579,6 +580,49 @@ def test_html_article_marked_aside_is_no_article(spark):
     assert {r.page_id: r.text for r in html_extraction.extract_main_text(df).collect()} == {1: story, 2: "text two", 3: ""}
 
 
+def test_html_suffix_arrays():
+    pick = random.Random(2)
+    pages = [[" ".join(pick.choice("abc") for _ in range(pick.randint(1, 40))) for _ in range(pick.randint(0, 4))] for _ in range(60)]
+    hosts = np.array([p % 3 for p in range(60)]) - 1
+    array = html_extraction.HostSuffixes(hosts, pa.array(pages, pa.list_(pa.string())))
+    array.sort()
+    plain = []
+    for p, blocks in enumerate(pages):
+        for tokens in (b.split() for b in blocks):
+            plain += [(int(hosts[p]), tokens[i : i + 8], p) for i in range(len(tokens)) if len(tokens) - i >= 8 or i == 0]
+    words = lambda i: [array.dictionary[int(c)].as_py() for c in array.codes[i : i + min(8, array.left[i])]]
+    assert [(int(hosts[array.row[i]]), words(i), int(array.row[i])) for i in array.order] == sorted(plain)
+    starts, run = array.pages_of_runs()
+    assert len(starts) == len({(h, tuple(t), p) for h, t, p in plain}) and len(set(run)) == len({(h, tuple(t)) for h, t, _ in plain})
+    # Equal runs have equal hashes, in other batches too; others have others.
+    other = html_extraction.HostSuffixes(hosts[30:], pa.array(pages[30:], pa.list_(pa.string())))
+    seen = {}
+    for a in (array, other):
+        for i, x in zip(a.starts, a.hashes(a.starts), strict=True):
+            assert seen.setdefault(tuple(a.dictionary[int(c)].as_py() for c in a.codes[i : i + min(8, a.left[i])]), x) == x
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_html_notices_inside_articles(spark):
+    notice = "all rights of this text are held by the owners of this site"
+    article = lambda *blocks: "<nav>menu</nav><article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article>"
+    story = _page_words(1000, 60)
+    # n.org: a notice in every article, in one inside a block. Pages lie in many parts of the array.
+    pages = {p: ("n.org", article(_page_words(p, 40), notice, "end")) for p in range(40)} | {40: ("n.org", article(f"{_page_words(40, 30)} {notice} tail"))}
+    want = {p: f"{_page_words(p, 40)}\nend" for p in range(40)} | {40: f"{_page_words(40, 30)} tail"}
+    # c.org: most are near copies of one story, which stay whole; so does what another page quotes of it. Its notice goes but from copies.
+    pages |= {p: ("c.org", article(f"{story} copy{p}", notice)) for p in range(100, 130)} | {p: ("c.org", article(_page_words(p, 70), notice)) for p in range(130, 138)}
+    want |= {p: f"{story} copy{p}\n{notice}" for p in range(100, 130)} | {p: _page_words(p, 70) for p in range(130, 138)}
+    pages[138], want[138] = ("c.org", article(_page_words(138, 70), story[: story.index(" word1000x12")], notice)), f"{_page_words(138, 70)}\n{story[: story.index(' word1000x12')]}"
+    # h.org: in half of the pages; f.org: four pages. Neither is enough.
+    pages |= {p: ("h.org", article(_page_words(p, 40), *[notice] * (p % 2))) for p in range(200, 220)} | {p: ("f.org", article(_page_words(p, 40), notice)) for p in range(300, 304)}
+    want |= {p: "\n".join([_page_words(p, 40), *[notice] * (p % 2)]) for p in range(200, 220)} | {p: f"{_page_words(p, 40)}\n{notice}" for p in range(300, 304)}
+    rows = [(p, f"http://{h}/{p}", x) for p, (h, x) in pages.items()]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_extraction.extract_main_text(df.repartition(7)).collect()} == want
+    assert {r.page_id: r.text for r in html_extraction.extract_main_text(df.coalesce(1)).collect()} == want
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "a"), (1, 1, "bot", "b"), (2, 0, "user", "a"), (2, 1, "bot", "b"), (2, 2, "user", "c"), (3, 0, "user", "a"), (4, 0, "user", "z"), (5, 0, "user", "z"),
             (6, 0, None, None), (6, 0, None, None), (7, 5, "user", "a"), (7, 6, "bot", "q"), (None, 0, "user", "n"), (8, None, "user", "y"), (8, 1, "bot", "b")]
